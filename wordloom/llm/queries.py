@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from wordloom.llm import mixing, packing, sharding, warc
+from wordloom.llm import mixing, packing, passages, sharding, simhash, warc
 
 QUERIES = {
+    "op2_suffix_array_dedup": passages.op2_suffix_array_dedup,
     "op4_source_mixing": mixing.op4_source_mixing,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op8_range_sharding": sharding.op8_range_sharding,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_warc_chunks": warc.op10_warc_chunks,
