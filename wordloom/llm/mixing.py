@@ -140,20 +140,20 @@ class Plan:
         return shard, position
 
 
-def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block_rows: int = BLOCK_ROWS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block_rows: int = BLOCK_ROWS, shards: int = SHARDS, seed: int = SEED, names: tuple[str, str] = ("shard", "position")) -> DataFrame:
     """The drawn rows of docs(doc_id, text, source, ...) with shard and position, which orders a shard (with gaps after short blocks).
 
     weights: by source, or None for rows ** alpha.  A null source is a source of its own, the empty string another.  Rows
     are told apart by a hash of doc_id and text; equal rows are interchangeable and keep their number, null ids and texts
-    count as values.  An empty table gives no rows.  All columns of docs are kept; columns of docs called shard or position
-    are replaced.  The same rows and seed give the same mix whatever the partitioning.  Only the counts by source, as many
+    count as values.  An empty table gives no rows.  All columns of docs are kept, but those called as
+    names says the two new ones are.  The same rows and seed give the same mix whatever the partitioning.  Only the counts by source, as many
     numbers as there are sources, reach the driver.
     """
     counts = {r[0]: r[1] for r in docs.groupBy(docs["source"].alias("_wl_s")).count().collect()}
     plan = Plan(counts, weights, block_rows, shards, seed, alpha)
     code = {s: k for k, s in enumerate(plan.names)}
     bins = max(1, math.ceil(max(counts.values(), default=1) / BIN_ROWS))
-    keep = [c for c in docs.columns if c.lower() not in ("shard", "position")]
+    keep = [c for c in docs.columns if c.lower() not in {x.lower() for x in names}]
     spark = docs.sparkSession
     number = F.lit(code.get(None, 0)) if len(code) < 2 and None in code else F.coalesce(F.element_at(F.create_map(*[x for s, k in code.items() if s is not None for x in (F.lit(s), F.lit(k))]), docs["source"]), F.lit(code.get(None, 0))) if code else F.lit(0)
     order = F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])
@@ -170,7 +170,7 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, bloc
         return pd.DataFrame({"shard": shard.astype(np.int32), "position": position})
 
     placed = ranked.withColumn("_wl_d", place(F.col("_wl_s"), F.col("_wl_r") + F.col("_wl_o")))
-    return placed.where("_wl_d.shard >= 0").select(*[F.col(f"`{c}`") for c in keep], F.col("_wl_d.shard").alias("shard"), F.col("_wl_d.position").alias("position"))
+    return placed.where("_wl_d.shard >= 0").select(*[F.col(f"`{c}`") for c in keep], F.col("_wl_d.shard").alias(names[0]), F.col("_wl_d.position").alias(names[1]))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
