@@ -7,7 +7,8 @@ close calls; the LIST nearest codewords of each segment are kept.  Segments go i
 a near copy leave some group with few; a group's key is its three indices, 36 bits, and the PROBES best combinations of the
 segments' lists are its keys.  Texts that share a key are compared in full: near copies differ in at most MAX_BITS of all bits.
 
-36-bit keys keep chance meetings rare: at a billion texts about one a text for each group.  Inside a key's texts the search
+A text's keys go to their places grouped by prefix, so its fingerprint is sent once for each of some eleven prefixes, not for
+each key; prefixes that a sample shows to be heavy are longer.  36-bit keys keep chance meetings rare: at a billion texts about one a text for each group.  Inside a key's texts the search
 goes from pivot to unvisited texts until none is left, which finds the same connected groups as comparing all pairs, and
 takes one pass over a bucket of close copies however many there are.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.spark_tools import checkpoint, components
-from wordloom.llm.text import Words, mix64, slices
+from wordloom.llm.text import Words, mix64, slices, utf8
 
 SEGMENTS = 12
 GROUP = 3
@@ -33,8 +34,13 @@ BITS = SEGMENTS * 23
 MAX_BITS = 46
 LANES = -(-BITS // 64)
 
-KEY_DDL = "k bigint, t bigint, f binary"
-KEY_SCHEMA = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("f", pa.binary(LANES * 8))])
+#: prefixes that hold more than HEAVY of all rows of a sample, one text in SAMPLED, are split by the next index
+SAMPLED = 64
+HEAVY = 1 / 2048
+HEAVY_LEAST = 32
+DEEP = 1 << 60
+
+KEY_DDL = "p bigint, t bigint, f binary, r binary"
 EDGE_DDL = "a bigint, b bigint"
 EDGE_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 STEPS = np.array([k * 0x9E3779B97F4A7C15 % 2**64 for k in range(1, LANES + 1)], np.uint64)
@@ -111,25 +117,43 @@ def keys(total: np.ndarray) -> np.ndarray:
     for g in range(SEGMENTS // GROUP):
         part = range(g * GROUP, g * GROUP + GROUP)
         worth = sum(score[s][:, COMBOS[:, k]] for k, s in enumerate(part))
-        name = sum(index[s][:, COMBOS[:, k]] << (12 * k) for k, s in enumerate(part)) + (g << 36)
+        name = sum(index[s][:, COMBOS[:, k]] << (12 * (GROUP - 1 - k)) for k, s in enumerate(part)) + (g << 36)
         best = np.argsort(-worth, axis=1, kind="stable")[:, :PROBES]
         out.append(np.take_along_axis(name, best, 1))
     return np.concatenate(out, axis=1)
 
 
-def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prefixes(total: np.ndarray) -> np.ndarray:
+    """Of each text, the (group, first index) pairs of its keys, repeats left in."""
+    return keys(total) >> 24
+
+
+def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(iter(batches), "text"):
+        words = Words(part.column("text"))
+        p = np.concatenate([np.unique(x) for x in prefixes(sums(words)[np.diff(words.first) > 0])] or [np.zeros(0, np.int64)])
+        p, n = np.unique(p, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n)], names=["p", "n"])
+
+
+def _keys(batches: Iterable[pa.RecordBatch], heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each prefix of a text's keys, with the keys' other bits: r holds 24 bits a key in four bytes."""
     for part in slices(iter(batches), "text"):
         words = Words(part.column("text"))
         some = np.flatnonzero(np.diff(words.first))
         if not len(some):
             continue
         total = sums(words)[some]
-        k = keys(total)
-        text = np.asarray(part.column("t"))[some]
+        k = np.sort(keys(total), axis=1)
         many = k.shape[1]
-        prints = np.repeat(fingerprints(total), many, axis=0)
-        f = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LANES * 8), len(prints), [None, pa.py_buffer(np.ascontiguousarray(prints))])
-        yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(text, many)), f.cast(pa.binary())], names=["k", "t", "f"])
+        doc, k = np.repeat(np.arange(len(some)), many), k.ravel()
+        p = np.where(np.isin(k >> 24, heavy), DEEP | (k >> 12), k >> 24)
+        first = np.flatnonzero((np.diff(p, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        off = (np.append(first, len(k)) * 4).astype(np.int32)
+        r = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(off), pa.py_buffer((k & 0xFFFFFF).astype(np.uint32))])
+        prints = np.ascontiguousarray(fingerprints(total)[doc[first]])
+        f = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LANES * 8), len(prints), [None, pa.py_buffer(prints)])
+        yield pa.RecordBatch.from_arrays([pa.array(p[first]), pa.array(np.asarray(part.column("t"))[some][doc[first]]), f.cast(pa.binary()), r], names=["p", "t", "f", "r"])
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -154,47 +178,72 @@ def _linked(text: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int]]:
             left = left[~near]
 
 
+def _meet(k: np.ndarray, t: np.ndarray, f: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Edges among texts that share a key; row[i] is the row of t and f that has key k[i]."""
+    order = np.lexsort((t[row], k))
+    k, row = k[order], row[order]
+    text = t[row]
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (text[1:] != text[:-1])
+    k, text, row = k[fresh], text[fresh], row[fresh]
+    starts = np.flatnonzero(np.diff(k, prepend=k[0] - 1))
+    size = np.diff(np.append(starts, len(k)))
+    head = np.repeat(starts, size)
+    rest = np.flatnonzero(np.arange(len(k)) != head)
+    near = _distance(f[row[rest]], f[row[head[rest]]]) <= MAX_BITS
+    a, b = [text[rest[near]]], [text[head[rest[near]]]]
+    for s in np.unique(head[rest[~near]]):
+        n = size[np.searchsorted(starts, s)]
+        if n > 2:
+            more = list(_linked(text[s : s + n], f[row[s : s + n]]))
+            a.append(np.array([x for x, _ in more], np.int64))
+            b.append(np.array([x for _, x in more], np.int64))
+    return np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+
+
 def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key and text; a bucket may span batches."""
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def work(k: np.ndarray, t: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        fresh = np.ones(len(k), bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
-        k, t, f = k[fresh], t[fresh], f[fresh]
-        starts = np.flatnonzero(np.diff(k, prepend=k[0] - 1))
-        size = np.diff(np.append(starts, len(k)))
-        head = np.repeat(starts, size)
-        rest = np.flatnonzero(np.arange(len(k)) != head)
-        near = _distance(f[rest], f[head[rest]]) <= MAX_BITS
-        a, b = [t[rest[near]]], [t[head[rest[near]]]]
-        for s in np.unique(head[rest[~near]]):
-            n = size[np.searchsorted(starts, s)]
-            if n > 2:
-                more = list(_linked(t[s : s + n], f[s : s + n]))
-                a.append(np.array([x for x, _ in more], np.int64))
-                b.append(np.array([x for _, x in more], np.int64))
-        pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+    """Rows come sorted by prefix; those of one prefix are held together."""
+    held: list[pa.RecordBatch] = []
+
+    def work() -> pa.RecordBatch:
+        p, t = (np.concatenate([np.asarray(x.column(c)) for x in held]) for c in "pt")
+        f = np.concatenate([_bits(x.column("f")) for x in held])
+        raw, off = zip(*[utf8(x.column("r")) for x in held], strict=True)
+        row = np.repeat(np.arange(len(p)), np.concatenate([np.diff(x) for x in off]) // 4)
+        rest = np.concatenate(raw).view(np.uint32).astype(np.int64)
+        p = p[row]
+        pair = _meet(np.where(p >= DEEP, (p - DEEP) >> 12, p) << 24 | rest, t, f, row)
+        held.clear()
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=EDGE_SCHEMA)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, t, f = np.asarray(batch.column("k")), np.asarray(batch.column("t")), _bits(batch.column("f"))
-        last = int(np.searchsorted(k, k[-1], "left"))
-        if last or (kept and kept[0][0][0] != k[-1]):
-            parts = [*kept, (k[:last], t[:last], f[:last])]
-            yield work(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            kept = []
-        kept.append((k[last:].copy(), t[last:].copy(), f[last:].copy()))
-    if kept:
-        yield work(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+        p = np.asarray(batch.column("p"))
+        last = int(np.searchsorted(p, p[-1], "left"))
+        if held and (last or held[-1].column("p")[0].as_py() != p[-1]):
+            if last:
+                held.append(batch.slice(0, last))
+            yield work()
+            held = [batch.slice(last)]
+        elif last:
+            held.append(batch.slice(0, last))
+            yield work()
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield work()
 
 
 def text_groups(docs: DataFrame) -> DataFrame:
     """(t, g) for each text that is near another one: t hashes the text, g names its group."""
-    found = docs.select(F.xxhash64(docs["text"]).alias("t"), docs["text"].alias("text")).where("text is not null").mapInArrow(_keys, KEY_DDL)
-    edges = found.repartition("k").sortWithinPartitions("k", "t").mapInArrow(_edges, EDGE_DDL)
+    texts = docs.select(F.xxhash64(docs["text"]).alias("t"), docs["text"].alias("text")).where("text is not null")
+    some = texts.where(F.pmod("t", F.lit(SAMPLED)) == 0).mapInArrow(_prefixes, "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n"))
+    counts = {r.p: r.n for r in some.where(F.col("n") > HEAVY_LEAST).union(some.agg(F.lit(-1).cast("bigint").alias("p"), F.sum("n").alias("n"))).collect()}  # as many as there are prefixes, at most
+    heavy = np.array(sorted(p for p, n in counts.items() if p >= 0 and n > (counts[-1] or 0) * HEAVY), np.int64)
+    found = texts.mapInArrow(lambda it: _keys(it, heavy), KEY_DDL)
+    edges = found.repartition("p").sortWithinPartitions("p").mapInArrow(_edges, EDGE_DDL)
     return components(edges).select(F.col("node").alias("t"), F.col("label").alias("g"))
 
 
