@@ -78,7 +78,7 @@ def test_quality_scores_agree_with_plain_sums(tables):
             slots = [(int.from_bytes(g, "big") * 0x9E3779B97F4A7C15 % 2**64) >> (64 - quality_rules.BITS) for g in grams]
             margin += quality_rules.SCALE * sum(float(model.weights[s + kind * quality_rules.SLOTS]) for s in slots) / max(1, len(slots))
         h = [int(x) for x in Words(pa.array([text])).h]
-        for kind, values in ((3, h), (4, [int(x) for x in quality_rules.mix64(np.array([(a * 3 + b) % 2**64 for a, b in zip(h, h[1:], strict=False)], np.uint64))])):
+        for kind, values in ((3, h), (4, [int(x) for x in quality_rules.mix64(np.array([(a * 3 + b) % 2**64 if a != b else 0 for a, b in zip(h, h[1:], strict=False)], np.uint64))])):
             slots = [v >> (64 - quality_rules.BITS) for v in values]
             margin += quality_rules.SCALE * sum(float(model.weights[s + kind * quality_rules.SLOTS]) for s in slots) / max(1, len(slots))
         assert model.margin(pa.array(["before", text, "after"]))[1] == pytest.approx(margin, abs=1e-6)
@@ -123,8 +123,9 @@ TERMS = ["moron", "morons", "worthless", "disgusting", "scum", "trash", "übel",
 @settings(max_examples=400, deadline=None)
 def test_automaton_and_filter_against_all_distances(word):
     want = sorted((distance(word, t), t) for t in TERMS if distance(word, t) <= toxicity.edits(t))
-    assert toxicity.Trie(TERMS).near(word) == want
-    lexicon = toxicity.Lexicon(tuple(sorted(TERMS)), ())
+    rooms = {t: toxicity.edits(t) for t in TERMS}
+    assert toxicity.Trie(rooms).near(word) == want
+    lexicon = toxicity.Lexicon(rooms, ())
     hits = lexicon.hits(Words(pa.array([f"a {word} b"])))
     assert [(d, t) for _, d, t in hits if d is not None][:1] == want[:1] or not WORD.fullmatch(word)
 
@@ -140,7 +141,7 @@ def test_learned_lexicon_and_context(spark, tables):
     assert all(r.toxic and 0.5 <= r.toxicity <= 1 and r.terms for r in out)
     low = {r.doc_id: r for r in toxicity.detect(df, lexicon, 0.01).collect()}
     assert low[3].n_quoted == 1 and low[9].n_quoted == 1 and low[2].n_misspelled == 1
-    assert toxicity.detect(df.limit(0), lexicon).collect() == [] and toxicity.detect(df, toxicity.Lexicon((), ())).collect() == []
+    assert toxicity.detect(df.limit(0), lexicon).collect() == [] and toxicity.detect(df, toxicity.Lexicon({}, ())).collect() == []
 
 
 def test_stems_are_learned():
@@ -148,7 +149,7 @@ def test_stems_are_learned():
     syllables = "ba ke lo mi nu ra so ti vo za".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(3))
     texts = [" ".join(word() for _ in range(30)) + (f" lowei{word()} x" if i < 100 else "") for i in range(400)]
-    lexicon = toxicity.learn(texts, np.array([1] * 100 + [0] * 300))
+    lexicon = toxicity.learn(texts, np.array([1] * 100 + [0] * 300), 0.1)
     assert any("lowei".startswith(s) or s.startswith("lowei") for s in lexicon.stems)
     found = toxicity.assess(Words(pa.array(["ba loweineunoch ke", "bake lomi"])), lexicon)
     assert [x[0] for x in found] == [0]

@@ -22,7 +22,7 @@ from wordloom.llm.text import slices, utf8
 #: bound of the training sample, rows of each label; one row in HELD_OUT of it is kept for calibration
 PER_CLASS = 1500
 HELD_OUT = 4
-DICT_BYTES = 1 << 17
+DICT_BYTES = 1 << 18
 LEVEL = 3
 #: a document is kept if its chance of being good is at least this
 KEEP = 0.5

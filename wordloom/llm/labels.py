@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 SEED = 11
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of a bounded sample, at most per_class rows of label 0 and of 1, and the share of 1 among all labelled rows.
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int | tuple[int, int]) -> tuple[list[str], np.ndarray, float]:
+    """Texts and labels of a bounded sample, at most per_class rows of label 0 and of 1 (or a bound for each), and the share of 1 among all labelled rows.
 
     Rows are taken in the order of a hash of doc_id, so a sample doesn't depend on the partitioning.  Rows without text or
     label, or with another label, don't count; a document that is labelled twice the same way counts once, one labelled both ways not at all.
@@ -21,15 +21,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tu
     counts = {r[0]: r[1] for r in known.groupBy("_wl_y").count().collect()}
     order: Column = F.xxhash64(F.lit(SEED), "doc_id")
     # by a hash below a bound, a little more than is wanted; then exactly the first per_class
+    most = per_class if isinstance(per_class, tuple) else (per_class, per_class)
     take = F.lit(False)
     for y, n in counts.items():
-        bound = min(1.0, (per_class + 6 * math.sqrt(per_class) + 10) / n)
+        bound = min(1.0, (most[y] + 6 * math.sqrt(most[y]) + 10) / n)
         take = take | ((F.col("_wl_y") == y) & (F.pmod(order, F.lit(1 << 30)) < int(bound * (1 << 30)) + 1))
     chosen = known.where(take)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "_wl_y", F.pmod(order, F.lit(1 << 30)).alias("o"), "doc_id").collect()
     texts, ys = [], []
     for y in (0, 1):
-        mine = sorted((r.o, r.doc_id, r.text) for r in rows if r[1] == y)[:per_class]
+        mine = sorted((r.o, r.doc_id, r.text) for r in rows if r[1] == y)[: most[y]]
         texts += [t for _, _, t in mine]
         ys += [y] * len(mine)
     whole = sum(counts.values())

@@ -1,7 +1,7 @@
 """Quality rules as hashed n-gram logistic regression.
 
 Features are the mean counts of hashed character 3-, 4- and 5-grams (of the raw UTF-8 bytes, so that capitals and symbols
-count) and of hashed words and word pairs; each kind has its own 2**18 slots.  Training sees a bounded sample of labelled
+count) and of hashed words and word pairs, where a word that stands twice running is one pair whatever the word; each kind has its own 2**18 slots.  Training sees a bounded sample of labelled
 rows; the margin is calibrated on a held-out part of it.  The model, a few megabytes, is broadcast; scoring reads Arrow batches,
 hashes all n-grams of a batch at once and adds weights by cumulative sums, so it costs some array passes a byte.
 """
@@ -51,6 +51,7 @@ def ngrams(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     yield (h >> np.uint64(64 - BITS)).astype(np.int64) + kind * SLOTS, a, b
     size = max(0, len(h) - 1)
     pair = mix64(h[:size] * np.uint64(3) + h[1:]) if size else h[:0]
+    pair = np.where(h[:size] == h[1:], np.uint64(0), pair)
     yield (pair >> np.uint64(64 - BITS)).astype(np.int64) + (kind + 1) * SLOTS, np.minimum(a, size), np.minimum(np.maximum(a, b - 1), size)
 
 

@@ -236,6 +236,20 @@ def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work()
 
 
+def distinct_texts(texts: list[str]) -> np.ndarray:
+    """Of a small list of texts, the places of those that are no near copy of an earlier one: all are compared with all."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    parts = [Words(part.column("text")) for part in slices(iter([batch]), "text")]
+    bits = np.concatenate([fingerprints(sums(w)) for w in parts] or [np.zeros((0, LANES), np.uint64)])
+    some = np.concatenate([np.diff(w.first) > 0 for w in parts] or [np.zeros(0, bool)])
+    keep = np.ones(len(texts), bool)
+    for a in range(0, len(texts), 64):
+        near = _distance(bits[a : a + 64, None], bits[None, : a + 64]) <= MAX_BITS
+        earlier = np.arange(near.shape[1])[None, :] < np.arange(a, min(a + 64, len(texts)))[:, None]
+        keep[a : a + 64] = ~(near & earlier & some[None, : a + 64]).any(axis=1) | ~some[a : a + 64]
+    return np.flatnonzero(keep)
+
+
 def text_groups(docs: DataFrame) -> DataFrame:
     """(t, g) for each text that is near another one: t hashes the text, g names its group."""
     texts = docs.select(F.xxhash64(docs["text"]).alias("t"), docs["text"].alias("text")).where("text is not null")

@@ -9,6 +9,7 @@ quotation marks or after words of reporting; a document's score joins its hits a
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -19,14 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.labels import sample
+from wordloom.llm.simhash import distinct_texts
 from wordloom.llm.text import WORD, Words, fold, prefix, slices, span
 
-#: bound of the training sample, rows of each label
-PER_CLASS = 3000
-#: lengths of stems; documents a term must explain; how much likelier than in clean documents it must be
+#: bound of the training sample, rows of label 0 and of label 1
+PER_CLASS = (6000, 3000)
+#: lengths of stems, and the words one must begin; documents a term must explain; the share of toxic ones among documents with a term;
+#: the chance that any term at all passes without meaning anything
 STEMS = range(4, 9)
+MIN_VARIETY = 8
 MIN_DOCS = 3
-MIN_RATIO = 50.0
+PRECISION = 0.8
+CHANCE = 0.01
+#: share of clean documents that may hold a word within a term's edits, else the term allows fewer
+ASTRAY = 1 / 5000
 WEIGHT = {0: 1.0, 1: 0.8, 2: 0.6}
 QUOTED = 0.25
 REPORTED = 0.5
@@ -65,24 +72,28 @@ class Automaton:
 
 
 class Trie:
-    def __init__(self, terms: Iterable[str]):
+    """Terms with the edits that each allows."""
+
+    def __init__(self, terms: dict[str, int]):
         self.root: dict = {}
-        for term in terms:
+        self.most = max(terms.values(), default=0)
+        for term, room in terms.items():
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
-            node[None] = term
+            node[None] = (term, room)
 
-    def near(self, word: str, most: int = 2) -> list[tuple[int, str]]:
+    def near(self, word: str) -> list[tuple[int, str]]:
         """(distance, term) of each term within the edits that it allows, nearest first."""
+        most = self.most
         automaton = Automaton(word, most)
         out, todo = [], [(self.root, automaton.start)]
         while todo:
             node, state = todo.pop()
             for c, child in node.items():
                 if c is None:
-                    if state[-1] <= edits(child):
-                        out.append((state[-1], child))
+                    if state[-1] <= child[1]:
+                        out.append((state[-1], child[0]))
                 elif min(after := automaton.step(state, c)) <= most:
                     todo.append((child, after))
         return sorted(out)
@@ -90,16 +101,18 @@ class Trie:
 
 @dataclass
 class Lexicon:
-    terms: tuple[str, ...]
+    """terms: the edits each allows; stems: beginnings of words, taken exactly."""
+
+    terms: dict[str, int]
     stems: tuple[str, ...]
 
     def __post_init__(self):
         self.trie = Trie(self.terms)
         self.seen: dict[bytes, tuple[int, str] | None] = {}
-        fuzzy = [t.encode() for t in self.terms if edits(t)]
+        fuzzy = [t.encode() for t, room in self.terms.items() if room]
         self.mask = np.array([_letters(np.frombuffer(t, np.uint8), np.zeros(1, np.int64))[0] for t in fuzzy], np.uint64)
         self.size = np.array([len(t) for t in fuzzy], np.int64)
-        self.room = np.array([edits(t.decode()) for t in fuzzy], np.int64)
+        self.room = np.array([self.terms[t.decode()] for t in fuzzy], np.int64)
         self.exact = _hashes(self.terms)
         self.by_size: dict[int, list[str]] = defaultdict(list)
         for s in self.stems:
@@ -118,10 +131,10 @@ class Lexicon:
             long = np.flatnonzero(size >= n)
             hit[long] |= np.isin(span(sums, s[long], s[long] + n), _hashes(stems))
         if len(self.mask):
-            # byte lengths differ from letters by the accents, at most two bytes an edit; each edit changes at most two letters of the set
+            # an edit changes the length by two bytes at most and the set of letters by two at most
             letters = _letters_of(words, s, e)
             for mask, n, room in zip(self.mask, self.size, self.room, strict=True):
-                hit |= (np.abs(size - n) <= 2 * room) & (np.bitwise_count(letters ^ mask) <= 2 * room + 1)
+                hit |= (np.abs(size - n) <= 2 * room) & (np.bitwise_count(letters ^ mask) <= 2 * room)
         found: dict[int, tuple[int, str]] = {}
         for i in np.flatnonzero(hit):
             raw = words.folded[s[i] : e[i]].tobytes()
@@ -144,7 +157,7 @@ def _hashes(terms: Iterable[str]) -> np.ndarray:
     return Words(pa.array(list(terms), pa.string())).h
 
 
-_MASK = np.array([1 << (b % 64) for b in range(256)], np.uint64)
+_MASK = np.array([1 << (b % 64 if b < 128 else 63) for b in range(256)], np.uint64)  # all bytes beyond ASCII are one letter
 
 
 def _letters(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -167,12 +180,21 @@ def quoted(before: str, after: str) -> bool:
     return any(before.rfind(a) > before.rfind(b) and b in after for a, b in MARKS.items())
 
 
-def learn(texts: list[str], y: np.ndarray) -> Lexicon:
-    """Terms and stems, greedily: the one that explains most toxic documents not yet explained, until one explains fewer than MIN_DOCS."""
+def learn(texts: list[str], y: np.ndarray, share: float) -> Lexicon:
+    """Terms and stems that mark toxic documents, share being how many of all documents are toxic.
+
+    A candidate must be precise at that share and beyond chance, by Chernoff's bound corrected for the number of candidates.  Then
+    greedily: the one that explains most toxic documents not yet explained, a word before a stem, a long stem before a short one, until
+    none explains MIN_DOCS.  Words as good that the choice had no need of are added, unless a stem covers them.  A term allows as many
+    edits as its length does, but fewer where clean documents hold such words.  Near copies count once: the words of one document that
+    was copied are no evidence.
+    """
+    kept = distinct_texts(texts)
+    texts, y = [texts[i] for i in kept], y[kept]
     where: dict[tuple[bool, str], set[int]] = defaultdict(set)
     clean: Counter = Counter()
     variety: dict[str, set[str]] = defaultdict(set)
-    n_toxic, n_clean = int(y.sum()), int(len(y) - y.sum())
+    n_toxic, n_clean = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     for toxic in (1, 0):
         for i in np.flatnonzero(y == toxic):
             names = set()
@@ -184,32 +206,52 @@ def learn(texts: list[str], y: np.ndarray) -> Lexicon:
                             names.add((True, w[:n]))
                             if toxic:
                                 variety[w[:n]].add(w)
-            for name in names:
-                if toxic:
+            if toxic:
+                for name in names:
                     where[name].add(int(i))
-                elif name in where:
-                    clean[name] += 1
-    good = {k: v for k, v in where.items() if len(v) >= MIN_DOCS and (len(v) / max(1, n_toxic)) >= MIN_RATIO * ((clean[k] + 0.25) / max(1, n_clean)) and (not k[0] or len(variety[k[1]]) >= 8)}
+            else:
+                clean.update(names & where.keys())
+    limit = math.log(CHANCE / max(1, len(where)))
+
+    def good(name: tuple[bool, str]) -> bool:
+        k, c = len(where[name]), clean[name]
+        if k < MIN_DOCS or name[0] and len(variety[name[1]]) < MIN_VARIETY:
+            return False
+        toxic, other = share * k / n_toxic, (1 - share) * c / n_clean
+        p, r = k / (k + c), n_toxic / (n_toxic + n_clean)
+        if toxic < PRECISION * (toxic + other) or p <= r:
+            return False
+        return -(k + c) * (p * math.log(p / r) + ((1 - p) * math.log((1 - p) / (1 - r)) if c else 0)) <= limit
+
+    chosen = sorted(k for k in where if good(k))
     terms, stems = [], []
-    left = set().union(*good.values()) if good else set()
-    order = sorted(good)
-    while left:
-        best = max(order, key=lambda k: (len(good[k] & left), not k[0], len(k[1])))
-        gain = good[best] & left
-        if len(gain) < MIN_DOCS:
-            break
+    left, order = set().union(*(where[k] for k in chosen)), chosen
+    while order:
+        best = max(order, key=lambda k: (len(where[k] & left), not k[0], len(k[1])))
         (stems if best[0] else terms).append(best[1])
-        left -= gain
-        order = [k for k in order if len(good[k] & left) >= MIN_DOCS]
-    # the greedy choice stops at terms whose documents others explain; terms as sure as the chosen ones belong to the lexicon too
-    sure = max(MIN_DOCS, n_toxic // 100)
-    terms += [k[1] for k in good if not k[0] and len(good[k]) >= sure and clean[k] == 0 and k[1] not in terms and not k[1].startswith(tuple(stems))]
-    return Lexicon(tuple(sorted(terms)), tuple(sorted(stems)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Lexicon:
-    texts, y, _ = sample(docs, labels, "toxic", per_class)
-    return learn(texts, y)
+        left -= where[best]
+        order = [k for k in order if len(where[k] & left) >= MIN_DOCS]
+    terms += [k[1] for k in chosen if not k[0] and k[1] not in terms and not k[1].startswith(tuple(stems))]
+    return Lexicon(_rooms(terms, [texts[i] for i in np.flatnonzero(y == 0)]), tuple(sorted(stems)))
+
+
+def _rooms(terms: list[str], clean: list[str]) -> dict[str, int]:
+    rooms = {t: edits(t) for t in sorted(terms)}
+    known = Lexicon(rooms, ())
+    astray: dict[tuple[str, int], set[int]] = defaultdict(set)
+    done = 0
+    for part in slices(iter([pa.RecordBatch.from_arrays([pa.array(clean, pa.string())], names=["text"])]), "text"):
+        words = Words(part.column("text"))
+        row = words.row
+        for w, distance, term in known.hits(words):
+            for d in range(max(1, distance), 3) if distance else ():
+                astray[term, d].add(done + int(row[w]))
+        done += part.num_rows
+    return {t: next((d for d in range(room, 0, -1) if len(astray[t, d]) <= len(clean) * ASTRAY), 0) for t, room in rooms.items()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int | tuple[int, int] = PER_CLASS) -> Lexicon:
+    return learn(*sample(docs, labels, "toxic", per_class))
 
 
 def assess(words: Words, lexicon: Lexicon) -> Iterator[tuple[int, float, int, int, int, list[str]]]:
