@@ -4,6 +4,7 @@ import base64
 import hashlib
 from html.parser import HTMLParser
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ def test_order_positions_captions():
     assert short == ["First & bold text goes on.", (base + "dir/a.png", "An alt"), "Then more.", (base + "b.png", "The caption <1>"), (base + "dir/c.png", "The caption <1>"), "1 < 2 and", "a break", (base + "dir/v.mp4", "Film"), ("http://other.example/x", None), ("data:image/png;base64", None), "End"]
 
 
-def test_payloads_join_by_digest(spark):
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_payloads_join_by_digest(spark, monkeypatch, limit):
+    monkeypatch.setattr(media, "BROADCAST_REFS", limit)
     base = "http://site.example/dir/page"
     rows = [(1, base, PAGE, "x", 1), (1, base, PAGE, "x", 1), (2, None, '<img src="a.png">', None, None), (3, "u", None, None, None), (4, "u", "", "y", 2), (None, base, '<img src="a.png"><img src="zz.png">', None, None)]
     known = [(digest("http://site.example/dir/a.png"), b"A2", 1), (digest("http://site.example/dir/a.png"), b"A1", 1), (None, b"none", None), (digest("http://site.example/b.png"), b"B", None)]

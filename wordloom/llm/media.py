@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.llm.spark_tools import checkpoint
 from wordloom.llm.text import slices
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -31,6 +32,9 @@ MEDIA = {"img": ("src", "data-src"), "video": ("src", "poster"), "audio": ("src"
 REF = "struct<tag:string,url:string,digest:string,caption:string,inline:binary>"
 PARSED = f"array<struct<pos:int,kind:string,text:string,media:{REF}>>"
 REF_TYPE = pa.struct([("tag", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("inline", pa.binary())])
+#: references, and bytes of their payloads, up to which they are broadcast; beyond, pages and payloads are shuffled
+BROADCAST_REFS = 100_000
+BROADCAST_BYTES = 16 << 20
 ITEM_TYPE = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("media", REF_TYPE)])
 
 
@@ -149,11 +153,19 @@ def sequences(pages: DataFrame, payloads: DataFrame) -> DataFrame:
     Empty tables are fine on both sides.  Other columns of either table are ignored.
     """
     ready = pages.select(pages["page_id"].cast("bigint").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"), F.sha2(F.concat_ws("\x01", pages["page_id"].cast("string"), pages["url"], pages["html"]), 256).alias("row"))
+    # a parse for the references alone, whose number and size say how to join; texts are parsed again where they go, not moved for it
     parsed = ready.mapInArrow(_parse, f"page_id bigint, url string, row string, items {PARSED}")
     refs = parsed.select("row", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("x")).select("row", F.col("x.pos").alias("pos"), F.col("x.media.digest").alias("digest"), F.col("x.media.inline").alias("inline"))
-    known = payloads.where("digest is not null").groupBy(payloads["digest"].alias("digest")).agg(F.min(payloads["payload"].cast("binary")).alias("payload"))
-    outside = refs.where("inline is null").select("row", "pos", "digest").distinct().join(known, "digest")
-    found = outside.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "payload"))).alias("found"))
+    refs = checkpoint(refs.where("inline is null").select("row", "pos", "digest").distinct())
+    digests = refs.select("digest").distinct()
+    few = refs.count() <= BROADCAST_REFS
+    known = payloads.where("digest is not null").select(payloads["digest"].alias("digest"), payloads["payload"].cast("binary").alias("payload"))
+    known = known.join(F.broadcast(digests) if few else digests, "digest", "left_semi").groupBy("digest").agg(F.min("payload").alias("payload"))
+    if few:
+        known = checkpoint(known)
+        few = (known.agg(F.sum(F.octet_length("payload"))).first()[0] or 0) <= BROADCAST_BYTES
+    found = refs.join(F.broadcast(known) if few else known, "digest").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "payload"))).alias("found"))
+    found = F.broadcast(found) if few else found
     payload = lambda x: F.coalesce(x["media"]["inline"], F.try_element_at("found", x["pos"]))
     media = lambda x: F.when(x["kind"] == "media", F.struct(*[x["media"][c].alias(c) for c in ("tag", "url", "digest", "caption")], payload(x).alias("payload")))
     items = F.transform("items", lambda x: F.struct(x["pos"].alias("pos"), x["kind"].alias("kind"), x["text"].alias("text"), media(x).alias("media")))

@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.labels import sample
 from wordloom.llm.simhash import distinct_texts
-from wordloom.llm.text import WORD, Words, fold, prefix, slices, span
+from wordloom.llm.text import WORD, Words, fold, mix64, prefix, slices, span
 
 #: bound of the training sample, rows of label 0 and of label 1
 PER_CLASS = (6000, 3000)
-#: lengths of stems, and the words one must begin; documents a term must explain; the share of toxic ones among documents with a term;
+#: lengths of stems in bytes, and the words one must begin; documents a term must explain; the share of toxic ones among documents with a term;
 #: the chance that any term at all passes without meaning anything
-STEMS = range(4, 9)
+STEMS = range(4, 11)
 MIN_VARIETY = 8
 MIN_DOCS = 3
 PRECISION = 0.8
@@ -185,54 +185,88 @@ def learn(texts: list[str], y: np.ndarray, share: float) -> Lexicon:
 
     A candidate must be precise at that share and beyond chance, by Chernoff's bound corrected for the number of candidates.  Then
     greedily: the one that explains most toxic documents not yet explained, a word before a stem, a long stem before a short one, until
-    none explains MIN_DOCS.  Words as good that the choice had no need of are added, unless a stem covers them.  A term allows as many
+    none explains MIN_DOCS.  Stems and words as good that the choice had no need of are added, unless a stem covers them.  A term allows as many
     edits as its length does, but fewer where clean documents hold such words.  Near copies count once: the words of one document that
     was copied are no evidence.
     """
     kept = distinct_texts(texts)
     texts, y = [texts[i] for i in kept], y[kept]
-    where: dict[tuple[bool, str], set[int]] = defaultdict(set)
-    clean: Counter = Counter()
-    variety: dict[str, set[str]] = defaultdict(set)
     n_toxic, n_clean = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    for toxic in (1, 0):
-        for i in np.flatnonzero(y == toxic):
-            names = set()
-            for w in {fold(x) for x in WORD.findall(texts[i])}:
-                if len(w) >= 4 and not w.isdigit():
-                    names.add((False, w))
-                    for n in STEMS:
-                        if len(w) > n:
-                            names.add((True, w[:n]))
-                            if toxic:
-                                variety[w[:n]].add(w)
-            if toxic:
-                for name in names:
-                    where[name].add(int(i))
-            else:
-                clean.update(names & where.keys())
-    limit = math.log(CHANCE / max(1, len(where)))
-
-    def good(name: tuple[bool, str]) -> bool:
-        k, c = len(where[name]), clean[name]
-        if k < MIN_DOCS or name[0] and len(variety[name[1]]) < MIN_VARIETY:
-            return False
-        toxic, other = share * k / n_toxic, (1 - share) * c / n_clean
+    toxic, clean = [texts[i] for i in np.flatnonzero(y == 1)], [texts[i] for i in np.flatnonzero(y == 0)]
+    empty = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    name, doc = (np.concatenate(x) for x in zip(*[empty, *((h, d) for h, d, _, _ in _names(toxic))], strict=True))
+    names, count = np.unique(name, return_counts=True)
+    limit = math.log(CHANCE / max(1, len(names)))
+    names, count = names[count >= MIN_DOCS], count[count >= MIN_DOCS]
+    other = np.zeros(len(names), np.int64)
+    for h, _, _, _ in _names(clean):
+        h, c = np.unique(h[np.isin(h, names)], return_counts=True)
+        other[np.searchsorted(names, h)] += c
+
+    def good(k: int, c: int) -> bool:
+        bad, fine = share * k / n_toxic, (1 - share) * c / n_clean
         p, r = k / (k + c), n_toxic / (n_toxic + n_clean)
-        if toxic < PRECISION * (toxic + other) or p <= r:
+        if bad < PRECISION * (bad + fine) or p <= r:
             return False
         return -(k + c) * (p * math.log(p / r) + ((1 - p) * math.log((1 - p) / (1 - r)) if c else 0)) <= limit
 
-    chosen = sorted(k for k in where if good(k))
+    names = names[[good(k, c) for k, c in zip(count.tolist(), other.tolist(), strict=True)]] if len(names) else names
+    spelled: dict[int, tuple[bool, str]] = {}
+    variety: dict[int, set[int]] = defaultdict(set)
+    for h, _, word, text in _names(toxic):
+        for i in np.flatnonzero(np.isin(h, names)):
+            spelled[int(h[i])] = text(i)
+            variety[int(h[i])].add(int(word[i]))
+    mine = np.isin(name, names)
+    where: dict[tuple[bool, str], set[int]] = defaultdict(set)
+    for h, d in zip(name[mine].tolist(), doc[mine].tolist(), strict=True):
+        stem, text = spelled[h]
+        if not text.isdigit() and (not stem or len(variety[h]) >= MIN_VARIETY):
+            where[stem, text].add(d)
+    chosen = sorted(where)
     terms, stems = [], []
-    left, order = set().union(*(where[k] for k in chosen)), chosen
+    left, order = set().union(*where.values()), chosen
     while order:
         best = max(order, key=lambda k: (len(where[k] & left), not k[0], len(k[1])))
         (stems if best[0] else terms).append(best[1])
         left -= where[best]
         order = [k for k in order if len(where[k] & left) >= MIN_DOCS]
+    for _, stem in sorted((k for k in chosen if k[0]), key=lambda k: (-len(where[k]), -len(k[1]), k[1])):
+        if not any(stem.startswith(x) or x.startswith(stem) for x in stems):
+            stems.append(stem)
     terms += [k[1] for k in chosen if not k[0] and k[1] not in terms and not k[1].startswith(tuple(stems))]
-    return Lexicon(_rooms(terms, [texts[i] for i in np.flatnonzero(y == 0)]), tuple(sorted(stems)))
+    return Lexicon(_rooms(terms, clean), tuple(sorted(stems)))
+
+
+def _names(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Callable]]:
+    """For slices of texts: each distinct (name, text) as hash and number, a word's hash with that name, and a function that spells it.
+
+    A name is a word of four bytes or more, or the first bytes of a longer word, as many as STEMS says, up to a whole character.
+    """
+    done = 0
+    for part in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), "text"):
+        words = Words(part.column("text"))
+        sums = prefix(words.folded.astype(np.uint64) + np.uint64(1))
+        row = words.row
+        at, end = [np.flatnonzero(words.e - words.s >= 4)], []
+        end.append(words.e[at[0]])
+        for n in STEMS:
+            long = np.flatnonzero(words.e - words.s > n)
+            long = long[(words.raw[words.s[long] + n] & 0xC0) != 0x80]
+            at.append(long)
+            end.append(words.s[long] + n)
+        stem = np.repeat(np.arange(len(at)) > 0, [len(x) for x in at])
+        at, end = np.concatenate(at), np.concatenate(end)
+        h = mix64(span(sums, words.s[at], end) + stem.astype(np.uint64))
+        key = mix64(h + mix64(row[at].astype(np.uint64)))
+        keep = np.unique(key, return_index=True)[1]
+
+        def text(i: int, words=words, at=at[keep], end=end[keep], stem=stem[keep]) -> tuple[bool, str]:
+            return bool(stem[i]), words.folded[words.s[at[i]] : end[i]].tobytes().decode()
+
+        # a text's other words with the same stem are lost here; texts are many, so the variety of a stem shows all the same
+        yield h[keep], (done + row[at[keep]]).astype(np.int32), words.h[at[keep]], text
+        done += part.num_rows
 
 
 def _rooms(terms: list[str], clean: list[str]) -> dict[str, int]:
