@@ -155,6 +155,7 @@ def test_stems_are_learned():
     assert [x[0] for x in found] == [0]
 
 
+@pytest.mark.xfail(reason="16 distinct toxic documents to learn from: 21 of 35 are found, the bound of chance lets no more terms pass")
 def test_toxicity_held_out(spark, sf):
     docs, marks = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet"), spark.read.parquet(f"{sf}/../sf0.01/labels.parquet")
     lexicon = toxicity.fit(docs, marks.where("doc_id % 2 = 0"))
@@ -165,5 +166,14 @@ def test_toxicity_held_out(spark, sf):
     assert sum(r.doc_id in got for r in late if r.toxic) >= 0.7 * sum(r.toxic for r in late)
 
 
+def test_toxicity_held_out_with_more_labels(spark, sf):
+    docs, marks = spark.read.parquet(f"{sf}/../sf0.1/documents.parquet"), spark.read.parquet(f"{sf}/../sf0.1/labels.parquet")
+    lexicon = toxicity.fit(docs, marks.where("doc_id % 2 = 0"))
+    got = {r.doc_id for r in toxicity.detect(docs, lexicon).collect()}
+    late = marks.where("doc_id % 2 = 1").collect()
+    assert sum(r.doc_id in got for r in late if r.toxic == 0) <= 0.005 * len(late)
+    assert sum(r.doc_id in got for r in late if r.toxic) >= 0.8 * sum(r.toxic for r in late)
+
+
 def test_fold_is_what_words_use():
     assert fold("ÀÉÞ×ABC") == "àéþ×abc"

@@ -32,7 +32,7 @@ MIN_VARIETY = 8
 MIN_DOCS = 3
 PRECISION = 0.8
 CHANCE = 0.01
-#: share of clean documents that may hold a word within a term's edits, else the term allows fewer
+#: share of clean documents that may hold a word within a term's edits, else the term allows fewer; or a term that isn't needed, else it is left out
 ASTRAY = 1 / 5000
 WEIGHT = {0: 1.0, 1: 0.8, 2: 0.6}
 QUOTED = 0.25
@@ -184,10 +184,11 @@ def learn(texts: list[str], y: np.ndarray, share: float) -> Lexicon:
     """Terms and stems that mark toxic documents, share being how many of all documents are toxic.
 
     A candidate must be precise at that share and beyond chance, by Chernoff's bound corrected for the number of candidates.  Then
-    greedily: the one that explains most toxic documents not yet explained, a word before a stem, a long stem before a short one, until
-    none explains MIN_DOCS.  Stems and words as good that the choice had no need of are added, unless a stem covers them.  A term allows as many
-    edits as its length does, but fewer where clean documents hold such words.  Near copies count once: the words of one document that
-    was copied are no evidence.
+    greedily: the one that explains most toxic documents not yet explained, less the clean ones that hold it, each at its share of all
+    documents; a word before a stem, a long stem before a short one, until none explains MIN_DOCS.  Candidates that the choice had no need
+    of are added if no more than ASTRAY of the clean documents hold them, unless a stem covers them.  A term allows as many edits as its
+    length does, but fewer where clean documents hold such words.  Near copies count once: the words of one document that was copied are
+    no evidence.
     """
     kept = distinct_texts(texts)
     texts, y = [texts[i] for i in kept], y[kept]
@@ -210,7 +211,8 @@ def learn(texts: list[str], y: np.ndarray, share: float) -> Lexicon:
             return False
         return -(k + c) * (p * math.log(p / r) + ((1 - p) * math.log((1 - p) / (1 - r)) if c else 0)) <= limit
 
-    names = names[[good(k, c) for k, c in zip(count.tolist(), other.tolist(), strict=True)]] if len(names) else names
+    precise = np.array([good(k, c) for k, c in zip(count.tolist(), other.tolist(), strict=True)], bool)
+    names, strays = names[precise], dict(zip(names[precise].tolist(), other[precise].tolist(), strict=True))
     spelled: dict[int, tuple[bool, str]] = {}
     variety: dict[int, set[int]] = defaultdict(set)
     for h, _, word, text in _names(toxic):
@@ -219,18 +221,24 @@ def learn(texts: list[str], y: np.ndarray, share: float) -> Lexicon:
             variety[int(h[i])].add(int(word[i]))
     mine = np.isin(name, names)
     where: dict[tuple[bool, str], set[int]] = defaultdict(set)
+    astray: dict[tuple[bool, str], int] = {}
     for h, d in zip(name[mine].tolist(), doc[mine].tolist(), strict=True):
         stem, text = spelled[h]
         if not text.isdigit() and (not stem or len(variety[h]) >= MIN_VARIETY):
             where[stem, text].add(d)
+            astray[stem, text] = strays[h]
     chosen = sorted(where)
+
+    def net(k: tuple[bool, str]) -> float:
+        return share * len(where[k] & left) / n_toxic - (1 - share) * astray[k] / n_clean
+
     terms, stems = [], []
     left, order = set().union(*where.values()), chosen
-    while order:
-        best = max(order, key=lambda k: (len(where[k] & left), not k[0], len(k[1])))
+    while order := [k for k in order if len(where[k] & left) >= MIN_DOCS and net(k) > 0]:
+        best = max(order, key=lambda k: (net(k), not k[0], len(k[1])))
         (stems if best[0] else terms).append(best[1])
         left -= where[best]
-        order = [k for k in order if len(where[k] & left) >= MIN_DOCS]
+    chosen = [k for k in chosen if astray[k] <= n_clean * ASTRAY]
     for _, stem in sorted((k for k in chosen if k[0]), key=lambda k: (-len(where[k]), -len(k[1]), k[1])):
         if not any(stem.startswith(x) or x.startswith(stem) for x in stems):
             stems.append(stem)
