@@ -34,10 +34,13 @@ BITS = SEGMENTS * 23
 MAX_BITS = 46
 LANES = -(-BITS // 64)
 
-#: prefixes that hold more than HEAVY of all rows of a sample, one text in SAMPLED, are split by the next index
+#: prefixes that hold more than HEAVY of all rows of a sample, one text in SAMPLED, or more than PREFIX_ROWS rows, are split by the next index
 SAMPLED = 64
 HEAVY = 1 / 2048
+PREFIX_ROWS = 1 << 18
 HEAVY_LEAST = 32
+#: texts of which a task remembers that they went out
+SEEN_TEXTS = 1 << 20
 DEEP = 1 << 60
 
 KEY_DDL = "p bigint, t bigint, f binary, r binary"
@@ -136,9 +139,20 @@ def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n)], names=["p", "n"])
 
 
+def _fresh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows without texts that this task has met before, told by t: a copied text is sent once a task, not once a copy."""
+    seen: set[int] = set()
+    for batch in batches:
+        t = batch.column("t").to_pylist()
+        new = [x not in seen and not seen.add(x) for x in t]
+        if len(seen) > SEEN_TEXTS:
+            seen.clear()
+        yield batch if all(new) else batch.filter(pa.array(new))
+
+
 def _keys(batches: Iterable[pa.RecordBatch], heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each prefix of a text's keys, with the keys' other bits: r holds 24 bits a key in four bytes."""
-    for part in slices(iter(batches), "text"):
+    for part in slices(_fresh(batches), "text"):
         words = Words(part.column("text"))
         some = np.flatnonzero(np.diff(words.first))
         if not len(some):
@@ -236,10 +250,18 @@ def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work()
 
 
+def _pairs(words: Words) -> Words:
+    """words with each word's hash replaced by one of it and the next: texts that only have their words in common differ."""
+    after = np.append(words.h[1:], np.zeros(min(1, len(words.h)), np.uint64))
+    after[words.first[1:][np.diff(words.first) > 0] - 1] = 0
+    words._h = mix64(words.h * np.uint64(3) + after)
+    return words
+
+
 def distinct_texts(texts: list[str]) -> np.ndarray:
-    """Of a small list of texts, the places of those that are no near copy of an earlier one: all are compared with all."""
+    """Of a small list of texts, the places of those that are no near copy of an earlier one, by their word pairs: all are compared with all."""
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-    parts = [Words(part.column("text")) for part in slices(iter([batch]), "text")]
+    parts = [_pairs(Words(part.column("text"))) for part in slices(iter([batch]), "text")]
     bits = np.concatenate([fingerprints(sums(w)) for w in parts] or [np.zeros((0, LANES), np.uint64)])
     some = np.concatenate([np.diff(w.first) > 0 for w in parts] or [np.zeros(0, bool)])
     keep = np.ones(len(texts), bool)
@@ -255,7 +277,7 @@ def text_groups(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.xxhash64(docs["text"]).alias("t"), docs["text"].alias("text")).where("text is not null")
     some = texts.where(F.pmod("t", F.lit(SAMPLED)) == 0).mapInArrow(_prefixes, "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n"))
     counts = {r.p: r.n for r in some.where(F.col("n") > HEAVY_LEAST).union(some.agg(F.lit(-1).cast("bigint").alias("p"), F.sum("n").alias("n"))).collect()}  # as many as there are prefixes, at most
-    heavy = np.array(sorted(p for p, n in counts.items() if p >= 0 and n > (counts[-1] or 0) * HEAVY), np.int64)
+    heavy = np.array(sorted(p for p, n in counts.items() if p >= 0 and n > min((counts[-1] or 0) * HEAVY, PREFIX_ROWS / SAMPLED)), np.int64)
     found = texts.mapInArrow(lambda it: _keys(it, heavy), KEY_DDL)
     edges = found.repartition("p").sortWithinPartitions("p").mapInArrow(_edges, EDGE_DDL)
     return components(edges).select(F.col("node").alias("t"), F.col("label").alias("g"))
