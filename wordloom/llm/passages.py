@@ -29,7 +29,7 @@ from wordloom.llm.text import Words, char_index, mix64, prefix, slices, span, ut
 LENGTH = 50
 WINDOW = 8
 MODULUS = 12
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 
 ANCHOR_DDL = "k bigint, c bigint, d bigint, t bigint, p bigint"
 SORTED_DDL = "d bigint, t bigint, p bigint, k bigint, src bigint"
