@@ -8,6 +8,7 @@ hashes all n-grams of a batch at once and adds weights by cumulative sums, so it
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ SCALE = 20.0
 PER_CLASS = 1500
 HELD_OUT = 4
 ROUNDS = 40
+BLOCK = 1 << 20
 RATE = 0.1
 DECAY = 1e-5
 #: a document is kept if its chance of being good is at least this
@@ -75,10 +77,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margin(column) + self.b, -500, 500)))
 
 
+def _parts(texts: list[str]) -> Iterator[pa.RecordBatch]:
+    return slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])]), "t", 1 << 18)
+
+
 def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of (slot, value) one after the other, and their offsets."""
     slots, values, sizes = [], [], []
-    for part in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])]), "t"):
+    for part in _parts(texts):
         grams = list(ngrams(Words(part.column(0))))
         for i in range(part.num_rows):
             n = 0
@@ -108,25 +114,30 @@ def train(texts: list[str], y: np.ndarray, prior: float) -> Model:
     slot, value, first = _matrix([texts[i] for i in fit])
     target = y[fit].astype(np.float64)
     cost = np.where(target == 1, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum()))
-    used, slot = np.unique(slot, return_inverse=True)
-    size = np.diff(first)
-    w, bias = np.zeros(len(used)), 0.0
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    total = np.zeros(len(slot) + 1)
+    # rows are taken in blocks of about BLOCK entries, so that training holds little besides the entries themselves
+    blocks = [0]
+    while blocks[-1] < len(target):
+        blocks.append(max(blocks[-1] + 1, int(np.searchsorted(first, first[blocks[-1]] + BLOCK, "right")) - 1))
+    w, bias = np.zeros(KINDS * SLOTS), 0.0
+    m, v = np.zeros(KINDS * SLOTS + 1), np.zeros(KINDS * SLOTS + 1)
     for step in range(1, ROUNDS + 1):
-        np.cumsum(w[slot] * value, out=total[1:])
-        p = 1 / (1 + np.exp(-np.clip(total[first[1:]] - total[first[:-1]] + bias, -50, 50)))
-        error = cost * (p - target)
-        grad = np.append(np.bincount(slot, value * np.repeat(error, size), len(used)) + DECAY * w, error.sum())
+        grad = np.append(DECAY * w, 0.0)
+        for lo, hi in itertools.pairwise(blocks):
+            at, size = slice(first[lo], first[hi]), np.diff(first[lo : hi + 1])
+            total = np.concatenate([np.zeros(1), np.cumsum(w[slot[at]] * value[at])])
+            off = first[lo : hi + 1] - first[lo]
+            p = 1 / (1 + np.exp(-np.clip(total[off[1:]] - total[off[:-1]] + bias, -50, 50)))
+            error = cost[lo:hi] * (p - target[lo:hi])
+            grad[:-1] += np.bincount(slot[at], value[at] * np.repeat(error, size), KINDS * SLOTS)
+            grad[-1] += error.sum()
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w -= move[:-1]
         bias -= float(move[-1])
-    model = Model(np.zeros(KINDS * SLOTS, np.float32), bias, 1.0, 0.0)
-    model.weights[used] = w
+    model = Model(w.astype(np.float32), bias, 1.0, 0.0)
     rest = np.flatnonzero(held)
-    model.a, model.b = platt(model.margin(pa.array([texts[i] for i in rest], pa.string())), y[rest], prior)
+    model.a, model.b = platt(np.concatenate([model.margin(part.column(0)) for part in _parts([texts[i] for i in rest])]), y[rest], prior)
     return model
 
 
