@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 WORD = re.compile("[A-Za-z0-9À-῿₀-⿿぀-\U0010ffff]+")
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
