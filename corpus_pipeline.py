@@ -26,8 +26,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn for the target mix of sources."""
-    return mixing.mix(docs, names=("_wl_shard", "_wl_position")).select(*[f"`{c}`" for c in docs.columns])
+    """The documents drawn for the target mix of sources, in the order of the mixed shards, which packing follows."""
+    return mixing.mix(docs, names=("_wl_shard", "_wl_position"), in_order=True).select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

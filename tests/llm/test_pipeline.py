@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import __spark_entry__
 import corpus_pipeline
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from wordloom.llm import mixing, packing, passages, quality_rules, simhash
@@ -93,3 +94,27 @@ def test_awkward_documents(spark, tmp_path, rows):
         docs = spark.read.parquet(str(tmp_path / f"out{k}"))
     assert sorted({x for b in docs.collect() for x in b.doc_ids}) == ([1, 3] if rows else [])
     assert simhash.drop_near_copies(spark.createDataFrame(rows, DOCS)).count() == max(0, len(rows) - 1)
+
+
+def test_mix_stage_writes_shards_in_order(spark, tmp_path):
+    """With a hot source: each part of the stage's Parquet is a run of one shard by position, not of one source."""
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "hot" if i % 4 else f"s{i % 3}", 6, "mine", "t", 1) for i in range(4000)], DOCS)
+    place = {r.doc_id: (r.s, r.p) for r in mixing.mix(docs, names=("s", "p")).collect()}
+    corpus_pipeline.mix(spark, docs, "").write.parquet(str(tmp_path / "out"))
+    seen = []
+    for path in sorted((tmp_path / "out").glob("*.parquet")):
+        rows = pq.read_table(path).to_pylist()
+        at = [place[r["doc_id"]] for r in rows]
+        assert at == sorted(at) and len({s for s, _ in at}) <= 1
+        assert len(rows) < 50 or len({r["source"] for r in rows[: len(rows) // 2]}) > 1
+        seen += at
+    assert sorted(seen) == sorted(place.values()) and len({s for s, _ in seen}) == mixing.SHARDS
+
+
+def test_runs_of_a_large_shard_follow_its_positions(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN_ROWS", 100)
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "a" if i % 4 else "b", 6, "mine", "t", 1) for i in range(3000)], DOCS)
+    out = mixing.mix(docs, shards=3, names=("s", "p"), in_order=True).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r.doc_id, r.s, r.p) for r in out) == sorted((r.doc_id, r.s, r.p) for r in mixing.mix(docs, shards=3, names=("s", "p")).collect())
+    assert [(r.s, r.p) for r in sorted(out, key=lambda r: r.part)] == sorted((r.s, r.p) for r in out)
+    assert len({r.part for r in out}) > 3

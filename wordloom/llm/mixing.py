@@ -140,13 +140,14 @@ class Plan:
         return shard, position
 
 
-def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block_rows: int = BLOCK_ROWS, shards: int = SHARDS, seed: int = SEED, names: tuple[str, str] = ("shard", "position")) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block_rows: int = BLOCK_ROWS, shards: int = SHARDS, seed: int = SEED, names: tuple[str, str] = ("shard", "position"), in_order: bool = False) -> DataFrame:
     """The drawn rows of docs(doc_id, text, source, ...) with shard and position, which orders a shard (with gaps after short blocks).
 
     weights: by source, or None for rows ** alpha.  A null source is a source of its own, the empty string another.  Rows
     are told apart by a hash of doc_id and text; equal rows are interchangeable and keep their number, null ids and texts
     count as values.  An empty table gives no rows.  All columns of docs are kept, but those called as
-    names says the two new ones are.  The same rows and seed give the same mix whatever the partitioning.  Only the counts by source, as many
+    names says the two new ones are.  in_order: every partition of the result is a run of one shard's positions, sorted, of about BIN_ROWS rows
+    at most; that shuffles the drawn rows once more.  The same rows and seed give the same mix whatever the partitioning.  Only the counts by source, as many
     numbers as there are sources, reach the driver.
     """
     counts = {r[0]: r[1] for r in docs.groupBy(docs["source"].alias("_wl_s")).count().collect()}
@@ -170,7 +171,13 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, bloc
         return pd.DataFrame({"shard": shard.astype(np.int32), "position": position})
 
     placed = ranked.withColumn("_wl_d", place(F.col("_wl_s"), F.col("_wl_r") + F.col("_wl_o")))
-    return placed.where("_wl_d.shard >= 0").select(*[F.col(f"`{c}`") for c in keep], F.col("_wl_d.shard").alias(names[0]), F.col("_wl_d.position").alias(names[1]))
+    placed = placed.where("_wl_d.shard >= 0")
+    if in_order:
+        size = max(1, int(plan.in_shard.max()) * block_rows)
+        runs = math.ceil(size / BIN_ROWS)
+        run = F.col("_wl_d.shard") * runs + F.floor(F.col("_wl_d.position") / math.ceil(size / runs)).cast("int")
+        placed = placed.repartitionById(shards * runs, run).sortWithinPartitions("_wl_d.shard", "_wl_d.position")
+    return placed.select(*[F.col(f"`{c}`") for c in keep], F.col("_wl_d.shard").alias(names[0]), F.col("_wl_d.position").alias(names[1]))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
