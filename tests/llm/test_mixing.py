@@ -67,3 +67,37 @@ def test_awkward_tables(spark):
     assert mixing.mix(df, {"nobody": 1.0}).collect() == []
     long = spark.createDataFrame([(i, "x" * 10**6, "a", None) for i in range(3)], SCHEMA)
     assert len(mixing.mix(long).collect()) == 3
+
+
+@pytest.mark.parametrize("tiny", [{}, {None: 1}, {"typo": 16}, {f"t{i}": 1 for i in range(3000)}])
+@pytest.mark.parametrize("scale", [1, 100])
+def test_a_tiny_source_does_not_set_the_total(tiny, scale):
+    large = {"hot": 50_000 * scale} | {f"s{i}": 2600 * scale for i in range(19)}
+    counts = large | tiny
+    quota = mixing.block_quotas(counts, mixing.target_weights(counts), 16)
+    alone = mixing.block_quotas(large, mixing.target_weights(large), 16)
+    assert sum(quota.values()) * 16 >= 0.5 * sum(counts.values())
+    assert all(quota[s] * 16 >= n for s, n in tiny.items())
+    if sum(tiny.values()) <= mixing.RARE * sum(counts.values()):
+        assert {s: quota[s] for s in large} == pytest.approx(alone, abs=1)
+        assert quota["hot"] / quota["s0"] == pytest.approx((50_000 / 2600) ** 0.5, rel=0.02)
+    assert all(quota[s] <= -(-n // 16) for s, n in counts.items())
+
+
+def test_derived_weights_draw_a_stated_share():
+    counts = {"hot": 1_000_000} | {f"t{i}": 1 for i in range(100_000)}
+    quota = mixing.block_quotas(counts, mixing.target_weights(counts), 16)
+    assert all(quota[s] == 1 for s in counts if s != "hot")
+    assert 0 <= quota["hot"] * 16 - (mixing.LEAST * 1_100_000 - 100_000) <= 16
+    assert mixing.block_quotas({"a": 7}, mixing.target_weights({"a": 7}), 16) == {"a": 1}
+    even = {s: 1600 for s in "abc"}
+    assert mixing.block_quotas(even, mixing.target_weights(even), 16) == dict.fromkeys("abc", 100)
+
+
+def test_the_drawn_rows_of_a_table_with_one_null_source(spark):
+    counts = {"hot": 3000, "s1": 1000, "s2": 1000, None: 1}
+    df = spark.createDataFrame([(i, f"{s} {i}", s, None) for s, n in counts.items() for i in range(n)], SCHEMA)
+    got = Counter(r.source for r in mixing.mix(df).collect())
+    assert got[None] == 1 and got["s1"] == got["s2"] == 1000 and 1700 < got["hot"] < 1760
+    target, share, drawn, there = mixing.Plan(counts, None, 16, 4, 1).reached()["hot"]
+    assert abs(share - target) < 0.02 and drawn < there

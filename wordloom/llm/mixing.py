@@ -2,7 +2,9 @@
 
 1. Each source's rows get exact ranks, in an order drawn from a keyed hash of the row; runs of block_rows ranks are blocks.
    Ranks come from counts by (source, hash bin), so no task ever sorts a whole source, however hot it is.
-2. The target weights and the rows at hand give each source an exact quota of blocks, without repetition.
+2. The target weights and the rows at hand give each source an exact quota of blocks, without repetition.  Given weights are
+   met exactly, so the scarcest source sets the total.  Weights derived from the counts are met as far as rows go: a source
+   that runs out gives all, the others share the rest.
 3. A binary tree over the output shards splits the quota vector: at each node the left half's vector is one multivariate
    hypergeometric draw without replacement, so the leaves add up to the quotas exactly.
 4. A shard's blocks of a source are a range of a keyed permutation of that source's block numbers: disjoint by
@@ -12,6 +14,7 @@ Steps 2 and 3 depend on the sources and shards alone; everything by row is arith
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -21,30 +24,67 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.text import mix64
 
+log = logging.getLogger(__name__)
 BLOCK_ROWS = 16
 SHARDS = 16
 SEED = 20240229
 ALPHA = 0.5
 BIN_ROWS = 8192
+#: with derived weights: sources that hold no more than this share of the rows together never set the total, and of all rows
+#: at least this share is drawn
+RARE = 0.01
+LEAST = 0.5
 ROUND_KEYS = np.array([r * 0x9E3779B97F4A7C15 % 2**64 for r in range(4)], np.uint64)
 DEST = "struct<shard:int,position:bigint>"
 
 
-def target_weights(counts: dict, alpha: float = ALPHA) -> dict:
+class Derived(dict):
+    """Weights that follow from the counts, to be met as far as rows go."""
+
+
+def target_weights(counts: dict, alpha: float = ALPHA) -> Derived:
     """Weights in proportion to rows ** alpha: 1 keeps the sources as they are, 0 makes them equal."""
     raw = {s: n**alpha for s, n in counts.items() if n}
-    return {s: w / sum(raw.values()) for s, w in raw.items()}
+    whole = sum(raw.values())
+    return Derived({s: w / whole for s, w in raw.items()})
+
+
+def fill(counts: dict, weights: dict) -> dict:
+    """Rows to draw from each source, as a fraction: min(rows, level * weight) with one level for all.
+
+    The level is where the first source runs out, those not counted that hold no more than RARE of the rows together; or, if
+    that draws less than LEAST of the rows, the level that draws so many.
+    """
+    scarce = sorted(weights, key=lambda s: (counts[s] / weights[s], str(s)))
+    whole = sum(counts[s] for s in scarce)
+    rows = 0
+    for s in scarce:
+        rows += counts[s]
+        if rows > RARE * whole:
+            break
+    level = counts[s] / weights[s]
+    if sum(min(counts[s], level * w) for s, w in weights.items()) < LEAST * whole:
+        want, left = LEAST * whole, sum(weights.values())
+        for s in scarce:
+            level = want / left
+            if level <= counts[s] / weights[s]:
+                break
+            want, left = want - counts[s], left - weights[s]
+    return {s: min(counts[s], level * w) for s, w in weights.items()}
 
 
 def block_quotas(counts: dict, weights: dict, block_rows: int) -> dict:
     """Blocks to draw from each source: the largest mix in the given weights that no source has to repeat rows for.
 
     Shares are rounded by largest remainder, never beyond a source's blocks.  A source without weight gives none.
+    Derived weights give what fill() says, rounded up, so that no source is left out.
     """
     blocks = {s: math.ceil(n / block_rows) for s, n in counts.items()}
     live = {s: w for s, w in weights.items() if w > 0 and blocks.get(s)}
     if not live:
         return dict.fromkeys(counts, 0)
+    if isinstance(weights, Derived):
+        return dict.fromkeys(counts, 0) | {s: min(blocks[s], math.ceil(x / block_rows - 1e-9)) for s, x in fill(counts, live).items()}
     whole = sum(live.values())
     live = {s: w / whole for s, w in live.items()}
     total = min(blocks[s] / w for s, w in live.items())
@@ -114,6 +154,7 @@ class Plan:
         quota = block_quotas(counts, chosen, block_rows)
         self.quota = np.array([quota[s] for s in self.names], np.int64)
         self.blocks = -(-self.rows // block_rows)
+        self.target = np.array([chosen.get(s, 0) for s in self.names], np.float64)
         self.tree = splitting_tree(self.quota, shards, seed)
         self.block_rows, self.shards, self.seed = block_rows, shards, seed
         self.until = np.cumsum(self.tree, axis=0)  # permuted block numbers below until[j, s] belong to shards 0 .. j
@@ -121,6 +162,12 @@ class Plan:
         self.before = np.cumsum(self.tree, axis=1) - self.tree
         self.in_shard = self.tree.sum(axis=1)
 
+    def reached(self) -> dict:
+        """By source: target share, share of the drawn blocks, blocks drawn, blocks at hand."""
+        share = self.quota / max(1, self.quota.sum())
+        target = self.target / (self.target.sum() or 1)
+        return dict(zip(self.names, zip(target.tolist(), share.tolist(), self.quota.tolist(), self.blocks.tolist(), strict=True), strict=True))
+
     def place(self, source: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shard, -1 for none, and position in the shard."""
         seed = np.uint64(self.seed)
@@ -143,7 +190,7 @@ class Plan:
 def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block_rows: int = BLOCK_ROWS, shards: int = SHARDS, seed: int = SEED, names: tuple[str, str] = ("shard", "position"), in_order: bool = False) -> DataFrame:
     """The drawn rows of docs(doc_id, text, source, ...) with shard and position, which orders a shard (with gaps after short blocks).
 
-    weights: by source, or None for rows ** alpha.  A null source is a source of its own, the empty string another.  Rows
+    weights: by source, met exactly, or None for rows ** alpha, met as far as rows go; the quotas reached are logged.  A null source is a source of its own, the empty string another.  Rows
     are told apart by a hash of doc_id and text; equal rows are interchangeable and keep their number, null ids and texts
     count as values.  An empty table gives no rows.  All columns of docs are kept, but those called as
     names says the two new ones are.  in_order: every partition of the result is a run of one shard's positions, sorted, of about BIN_ROWS rows
@@ -152,6 +199,8 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, bloc
     """
     counts = {r[0]: r[1] for r in docs.groupBy(docs["source"].alias("_wl_s")).count().collect()}
     plan = Plan(counts, weights, block_rows, shards, seed, alpha)
+    for s, x in plan.reached().items():
+        log.info("source %r: target %.4f, reached %.4f, %d of %d blocks", s, *x)
     code = {s: k for k, s in enumerate(plan.names)}
     bins = max(1, math.ceil(max(counts.values(), default=1) / BIN_ROWS))
     keep = [c for c in docs.columns if c.lower() not in {x.lower() for x in names}]
