@@ -130,6 +130,13 @@ def test_automaton_and_filter_against_all_distances(word):
     assert [(d, t) for _, d, t in hits if d is not None][:1] == want[:1] or not WORD.fullmatch(word)
 
 
+@pytest.mark.parametrize("word", ["sc\U00020000mm", "ｓcumm", "scu\U00020000m", "\U00020000cumm", "scum\u4e00m"])
+def test_an_edit_may_be_a_character_of_several_bytes(word):
+    lexicon = toxicity.Lexicon({"scumm": 1}, ())
+    assert distance(fold(word), "scumm") <= 1
+    assert [h[1:] for h in lexicon.hits(Words(pa.array([word])))] == [lexicon.match(fold(word))]
+
+
 def test_learned_lexicon_and_context(spark, tables):
     docs, marks, *_ = tables
     lexicon = toxicity.fit(docs, marks)

@@ -131,10 +131,10 @@ class Lexicon:
             long = np.flatnonzero(size >= n)
             hit[long] |= np.isin(span(sums, s[long], s[long] + n), _hashes(stems))
         if len(self.mask):
-            # an edit changes the length by two bytes at most and the set of letters by two at most
+            # an edit changes the length by one character, of four bytes at most, and the set of letters by two at most
             letters = _letters_of(words, s, e)
             for mask, n, room in zip(self.mask, self.size, self.room, strict=True):
-                hit |= (np.abs(size - n) <= 2 * room) & (np.bitwise_count(letters ^ mask) <= 2 * room)
+                hit |= (np.abs(size - n) <= 4 * room) & (np.bitwise_count(letters ^ mask) <= 2 * room)
         found: dict[int, tuple[int, str]] = {}
         for i in np.flatnonzero(hit):
             raw = words.folded[s[i] : e[i]].tobytes()
