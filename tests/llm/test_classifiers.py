@@ -151,6 +151,16 @@ def test_learned_lexicon_and_context(spark, tables):
     assert toxicity.detect(df.limit(0), lexicon).collect() == [] and toxicity.detect(df, toxicity.Lexicon({}, ())).collect() == []
 
 
+def test_short_words_are_learned():
+    rng = random.Random(6)
+    common = "the and a of in to is it we on".split()
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = [" ".join([word() for _ in range(30)] + rng.sample(common, 5) + ["zog"] * (i < 100)) for i in range(400)]
+    lexicon = toxicity.learn(texts, np.array([1] * 100 + [0] * 300), 0.1)
+    assert lexicon.terms == {"zog": 0}
+    assert [x[0] for x in toxicity.assess(Words(pa.array(["you zog", "the dog", "zo zogg"])), lexicon)] == [0]
+
+
 def test_stems_are_learned():
     rng = random.Random(5)
     syllables = "ba ke lo mi nu ra so ti vo za".split()

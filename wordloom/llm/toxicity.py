@@ -249,14 +249,14 @@ def learn(texts: list[str], y: np.ndarray, share: float) -> Lexicon:
 def _names(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Callable]]:
     """For slices of texts: each distinct (name, text) as hash and number, a word's hash with that name, and a function that spells it.
 
-    A name is a word of four bytes or more, or the first bytes of a longer word, as many as STEMS says, up to a whole character.
+    A name is a word, or the first bytes of a longer word, as many as STEMS says, up to a whole character.
     """
     done = 0
     for part in slices(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), "text"):
         words = Words(part.column("text"))
         sums = prefix(words.folded.astype(np.uint64) + np.uint64(1))
         row = words.row
-        at, end = [np.flatnonzero(words.e - words.s >= 4)], []
+        at, end = [np.arange(len(words.s))], []
         end.append(words.e[at[0]])
         for n in STEMS:
             long = np.flatnonzero(words.e - words.s > n)
