@@ -1,10 +1,11 @@
 """WARC payloads as a chunked record table.
 
 A record becomes rows of (record id, chunk number, chunk), each with the digest of the payload up to and including that
-chunk; the row marked last therefore carries the digest of the whole payload.  Neither the reader nor the chunker ever
-holds a whole record: files are streamed through a fixed buffer, columns are cut through views of the Arrow buffer, and
-rows leave in batches of a few megabytes.  A record of any size costs memory for one chunk, and chunks of one record
-can be worked on by different tasks.
+chunk; the row marked last therefore carries the digest of the whole payload.  Only read_warc streams: it reads files through
+a fixed buffer and never holds a whole record, so that a record of any size costs memory for one chunk.  chunk_records, which the
+registered query runs, gets whole payloads from Spark, a batch of them at a time, and cuts them through views of the Arrow
+buffer; its memory grows with the record and the batch.  Both give rows in batches of a few megabytes, and chunks of one
+record can be worked on by different tasks.
 """
 
 from __future__ import annotations
