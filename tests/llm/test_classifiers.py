@@ -107,6 +107,13 @@ def test_without_labels_the_share_is_the_chance(spark, tables, module):
         assert p[0] == pytest.approx(p[1]) and 0 <= p[0] <= 1
 
 
+@pytest.mark.parametrize("module, query", [(quality_rules, "op5_quality_rules"), (compression, "op3_compression_quality")])
+def test_queries_return_rejected_documents_too(spark, sf, module, query):
+    out = getattr(module, query)(spark, sf).collect()
+    assert len(out) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.keep == (r.p_good >= module.KEEP) for r in out) and {r.keep for r in out} == {True, False}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, c in enumerate(a, 1):

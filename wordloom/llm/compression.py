@@ -107,7 +107,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that score at least KEEP, with their scores."""
+    """Every document with its scores; keep: whether it scores at least KEEP."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).where(F.col("p_good") >= KEEP).withColumn("keep", F.lit(True))
+    return score(docs, model).withColumn("keep", F.col("p_good") >= KEEP)

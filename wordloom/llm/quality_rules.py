@@ -178,7 +178,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFra
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents the rules keep, with their scores."""
+    """Every document with its score; keep: whether the rules keep it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs.select("doc_id", "text"), model, KEEP).select("doc_id", "p_good", F.lit(True).alias("keep"))
+    return score(docs.select("doc_id", "text"), model).select("doc_id", "p_good", (F.col("p_good") >= KEEP).alias("keep"))
