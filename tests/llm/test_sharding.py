@@ -39,3 +39,35 @@ def test_empty_and_single(spark):
     assert [r.shard for r in sharding.shard(df).collect()] == [0]
     long = spark.createDataFrame([(i, "x" * 10**6, "s", None, 1) for i in range(4)], SCHEMA)
     assert len({r.shard for r in sharding.shard(long, 500_000).collect()}) == 4
+
+
+def test_a_hot_least_key(spark):
+    """600 rows of the least key and 394 others: the hot key gets shards of its own, all others stay within bounds."""
+    rows = [(5, "y" * 540, "a", None, i) for i in range(600)] + [(i, "x" * (i % 300), "a", None, 0) for i in range(6, 400)]
+    target = 40_000
+    got = sharding.shard(spark.createDataFrame(rows, SCHEMA), target).collect()
+    size, keys = {}, {}
+    for r in got:
+        size[r.shard] = size.get(r.shard, 0) + len(r.text) + 64
+        keys.setdefault(r.shard, set()).add(r.doc_id)
+    assert len(got) == len(rows)
+    assert all(n <= 1.25 * target or keys[s] == {5} and n <= 1.5 * target for s, n in size.items())
+    assert len([s for s in keys if keys[s] == {5}]) >= 9 and len(size) < 9 + 4 * sum(n for s, n in size.items() if keys[s] != {5}) / target + 3
+
+
+def test_rows_alike_in_all_are_dealt_out(spark):
+    df = spark.createDataFrame([(1, "z" * 936, "a", "old", 1)] * 400 + [(2, "q", "a", "old", 1)], SCHEMA).repartition(3)
+    out = sharding.shard(df, 40_000)
+    got = out.groupBy("doc_id", "shard").count().collect()
+    assert sum(r["count"] for r in got) == 401 and sorted(r["count"] for r in got if r.doc_id == 1)[0] >= 20 and len(got) == 11
+
+
+def test_many_ranges_take_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FANOUT", 3)
+    rows = [(i * 7919 % 5000, "x" * (i % 90), f"s{i % 3}", None, i) for i in range(5000)]
+    target = 10_000
+    got = sharding.shard(spark.createDataFrame(rows, SCHEMA), target).collect()
+    size = {}
+    for r in got:
+        size[r.shard] = size.get(r.shard, 0) + len(r.text) + 64
+    assert max(size.values()) <= 1.25 * target and sum(size.values()) / len(size) > target / 3
