@@ -101,3 +101,24 @@ def test_the_drawn_rows_of_a_table_with_one_null_source(spark):
     assert got[None] == 1 and got["s1"] == got["s2"] == 1000 and 1700 < got["hot"] < 1760
     target, share, drawn, there = mixing.Plan(counts, None, 16, 4, 1).reached()["hot"]
     assert abs(share - target) < 0.02 and drawn < there
+
+
+def test_given_weights_leave_no_source_out():
+    assert mixing.block_quotas({"s": 1, "": 1, None: 2}, {"s": 1, "": 1, None: 2}, 16) == {"s": 1, "": 1, None: 1}
+    # 20 rows are a full and a quarter block; the others give as many rows, not as many blocks
+    assert mixing.block_quotas({"a": 20, "b": 1000, "c": 1000}, {"a": 1, "b": 1, "c": 2}, 16) == {"a": 2, "b": 1, "c": 3}
+    assert mixing.block_quotas({"a": 10, "b": 10}, {"a": 1.0}, 16) == {"a": 1, "b": 0}
+
+
+def test_large_draws_follow_the_distribution():
+    """Inversion against exact chances where these can be counted, and the moments where they can't."""
+    from math import comb
+
+    rng = np.random.default_rng(3)
+    got = Counter(mixing.inverted(rng, 7, 12, 8) for _ in range(4000))
+    for k in range(8):
+        assert abs(got[k] / 4000 - comb(7, k) * comb(12, 8 - k) / comb(19, 8)) < 0.03
+    good, bad, draws = 4 * 10**9, 9 * 10**9, 5 * 10**9
+    mean, var = draws * good / (good + bad), draws * good / (good + bad) * bad / (good + bad) * (good + bad - draws) / (good + bad)
+    x = np.array([mixing.inverted(rng, good, bad, draws) for _ in range(200)], float)
+    assert abs(x.mean() - mean) < 5 * (var / 200) ** 0.5 and 0.7 < x.var() / var < 1.4

@@ -112,7 +112,7 @@ def test_mix_stage_writes_shards_in_order(spark, tmp_path):
 
 
 def test_runs_of_a_large_shard_follow_its_positions(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BIN_ROWS", 100)
+    monkeypatch.setattr(mixing, "RUN_ROWS", 100)
     docs = spark.createDataFrame([(i, f"text {i}", "en", "a" if i % 4 else "b", 6, "mine", "t", 1) for i in range(3000)], DOCS)
     out = mixing.mix(docs, shards=3, names=("s", "p"), in_order=True).withColumn("part", F.spark_partition_id()).collect()
     assert sorted((r.doc_id, r.s, r.p) for r in out) == sorted((r.doc_id, r.s, r.p) for r in mixing.mix(docs, shards=3, names=("s", "p")).collect())

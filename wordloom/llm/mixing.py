@@ -29,7 +29,8 @@ BLOCK_ROWS = 16
 SHARDS = 16
 SEED = 20240229
 ALPHA = 0.5
-BIN_ROWS = 8192
+BIN_ROWS = 2048
+RUN_ROWS = 8192
 #: with derived weights: sources that hold no more than this share of the rows together never set the total, and of all rows
 #: at least this share is drawn
 RARE = 0.01
@@ -76,7 +77,8 @@ def fill(counts: dict, weights: dict) -> dict:
 def block_quotas(counts: dict, weights: dict, block_rows: int) -> dict:
     """Blocks to draw from each source: the largest mix in the given weights that no source has to repeat rows for.
 
-    Shares are rounded by largest remainder, never beyond a source's blocks.  A source without weight gives none.
+    Shares are shares of rows, so a source's short last block counts by its rows.  They are rounded to blocks by largest remainder,
+    never beyond a source's blocks, and a source with weight and rows gives one block at least.  A source without weight gives none.
     Derived weights give what fill() says, rounded up, so that no source is left out.
     """
     blocks = {s: math.ceil(n / block_rows) for s, n in counts.items()}
@@ -87,12 +89,12 @@ def block_quotas(counts: dict, weights: dict, block_rows: int) -> dict:
         return dict.fromkeys(counts, 0) | {s: min(blocks[s], math.ceil(x / block_rows - 1e-9)) for s, x in fill(counts, live).items()}
     whole = sum(live.values())
     live = {s: w / whole for s, w in live.items()}
-    total = min(blocks[s] / w for s, w in live.items())
-    exact = {s: min(blocks[s], total * w) for s, w in live.items()}
+    total = min(counts[s] / w for s, w in live.items())
+    exact = {s: blocks[s] if total * w > counts[s] - 1e-6 else total * w / block_rows for s, w in live.items()}
     quota = {s: math.floor(x + 1e-9) for s, x in exact.items()}
     for s in sorted(live, key=lambda s: (quota[s] - exact[s], str(s)))[: max(0, round(sum(exact.values())) - sum(quota.values()))]:
         quota[s] = min(blocks[s], quota[s] + 1)
-    return dict.fromkeys(counts, 0) | quota
+    return dict.fromkeys(counts, 0) | {s: max(1, q) for s, q in quota.items()}
 
 
 def splitting_tree(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -121,11 +123,18 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
         return 0
     if not bad:
         return draws
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, draws))
-    mean = draws * good / (good + bad)  # beyond numpy's range the normal limit is exact to far less than a block in 1e4
-    sd = math.sqrt(mean * bad / (good + bad) * (good + bad - draws) / (good + bad - 1))
-    return int(min(max(round(rng.normal(mean, sd)), draws - bad, 0), good, draws))
+    return int(rng.hypergeometric(good, bad, draws)) if good + bad < 10**9 else inverted(rng, good, bad, draws)
+
+
+def inverted(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """The same draw beyond numpy's range, by inversion: the distribution from its mode outwards, as far as a double can tell."""
+    mode = (draws + 1) * (good + 1) // (good + bad + 2)
+    reach = 60 + int(14 * math.sqrt(draws * good / (good + bad) * bad / (good + bad) * (good + bad - draws) / (good + bad - 1)))
+    lo, hi = max(0, draws - bad, mode - reach), min(good, draws, mode + reach)
+    k = np.arange(lo, hi, dtype=np.float64)
+    log_p = np.concatenate([np.zeros(1), np.cumsum(np.log((good - k) / (k + 1) * ((draws - k) / (bad - draws + k + 1))))])
+    chance = np.cumsum(np.exp(log_p - log_p.max()))
+    return lo + int(np.searchsorted(chance, rng.random() * chance[-1], "right"))
 
 
 def permute(x: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -149,6 +158,7 @@ class Plan:
 
     def __init__(self, counts: dict, weights: dict | None, block_rows: int, shards: int, seed: int, alpha: float = ALPHA):
         self.names = sorted(counts, key=lambda s: (s is not None, s))
+        self.code = {s: k for k, s in enumerate(self.names)}
         self.rows = np.array([counts[s] for s in self.names], np.int64)
         chosen = target_weights(counts, alpha) if weights is None else weights
         quota = block_quotas(counts, chosen, block_rows)
@@ -193,19 +203,19 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, bloc
     weights: by source, met exactly, or None for rows ** alpha, met as far as rows go; the quotas reached are logged.  A null source is a source of its own, the empty string another.  Rows
     are told apart by a hash of doc_id and text; equal rows are interchangeable and keep their number, null ids and texts
     count as values.  An empty table gives no rows.  All columns of docs are kept, but those called as
-    names says the two new ones are.  in_order: every partition of the result is a run of one shard's positions, sorted, of about BIN_ROWS rows
+    names says the two new ones are.  in_order: every partition of the result is a run of one shard's positions, sorted, of about RUN_ROWS rows
     at most; that shuffles the drawn rows once more.  The same rows and seed give the same mix whatever the partitioning.  Only the counts by source, as many
-    numbers as there are sources, reach the driver.
+    numbers as there are sources, reach the driver; what goes to the tasks has a few numbers for each source and shard.  Texts of any
+    length move whole, in one shuffle.
     """
     counts = {r[0]: r[1] for r in docs.groupBy(docs["source"].alias("_wl_s")).count().collect()}
     plan = Plan(counts, weights, block_rows, shards, seed, alpha)
     for s, x in plan.reached().items():
         log.info("source %r: target %.4f, reached %.4f, %d of %d blocks", s, *x)
-    code = {s: k for k, s in enumerate(plan.names)}
     bins = max(1, math.ceil(max(counts.values(), default=1) / BIN_ROWS))
     keep = [c for c in docs.columns if c.lower() not in {x.lower() for x in names}]
     spark = docs.sparkSession
-    number = F.lit(code.get(None, 0)) if len(code) < 2 and None in code else F.coalesce(F.element_at(F.create_map(*[x for s, k in code.items() if s is not None for x in (F.lit(s), F.lit(k))]), docs["source"]), F.lit(code.get(None, 0))) if code else F.lit(0)
+    number = F.coalesce(F.concat(F.lit("="), docs["source"]), F.lit(""))  # the null source apart from the empty one
     order = F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])
     tagged = docs.withColumns({"_wl_s": number, "_wl_h": order}).withColumn("_wl_b", F.pmod(F.shiftright("_wl_h", 20), F.lit(bins)))
     offsets = tagged.groupBy("_wl_s", "_wl_b").agg(F.count("*").alias("_wl_n"))
@@ -216,18 +226,22 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, bloc
 
     @F.pandas_udf(DEST)
     def place(source: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        shard, position = shared.value.place(source.to_numpy(), rank.to_numpy())
+        known = shared.value
+        which, names = pd.factorize(source)
+        code = np.array([known.code[s[1:] if s else None] for s in names], np.int64)
+        shard, position = known.place(code[which], rank.to_numpy())
         return pd.DataFrame({"shard": shard.astype(np.int32), "position": position})
 
     placed = ranked.withColumn("_wl_d", place(F.col("_wl_s"), F.col("_wl_r") + F.col("_wl_o")))
     placed = placed.where("_wl_d.shard >= 0")
     if in_order:
         size = max(1, int(plan.in_shard.max()) * block_rows)
-        runs = math.ceil(size / BIN_ROWS)
+        runs = math.ceil(size / RUN_ROWS)
         run = F.col("_wl_d.shard") * runs + F.floor(F.col("_wl_d.position") / math.ceil(size / runs)).cast("int")
         placed = placed.repartitionById(shards * runs, run).sortWithinPartitions("_wl_d.shard", "_wl_d.position")
     return placed.select(*[F.col(f"`{c}`") for c in keep], F.col("_wl_d.shard").alias(names[0]), F.col("_wl_d.position").alias(names[1]))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents with derived weights; nulls, empty and long texts, ties, repeats and clashing names as mix() says."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
