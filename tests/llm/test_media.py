@@ -7,7 +7,6 @@ from html.parser import HTMLParser
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 from wordloom.llm import media
 
 SCHEMA = "page_id bigint, url string, html string, items string, digest int"
@@ -33,13 +32,17 @@ def test_order_positions_captions():
     assert short == ["First & bold text goes on.", (base + "dir/a.png", "An alt"), "Then more.", (base + "b.png", "The caption <1>"), (base + "dir/c.png", "The caption <1>"), "1 < 2 and", "a break", (base + "dir/v.mp4", "Film"), ("http://other.example/x", None), ("data:image/png;base64", None), "End"]
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_payloads_join_by_digest(spark, monkeypatch, limit):
-    monkeypatch.setattr(media, "BROADCAST_REFS", limit)
+def test_every_address_of_a_tag():
+    page = '<img srcset="a.png 1x, b.png 2x"><video src=v.mp4 poster="p.png"></video><noscript>turn it on <img src="lazy.png"></noscript><img src="a.png" data-src="a.png">'
+    assert [x["media"]["url"] for x in media.parse(page)] == ["a.png", "b.png", "v.mp4", "p.png", "lazy.png", "a.png"]
+
+
+@pytest.mark.parametrize("limit", [10**6, 1, 2])
+def test_payloads_join_by_digest(spark, limit):
     base = "http://site.example/dir/page"
     rows = [(1, base, PAGE, "x", 1), (1, base, PAGE, "x", 1), (2, None, '<img src="a.png">', None, None), (3, "u", None, None, None), (4, "u", "", "y", 2), (None, base, '<img src="a.png"><img src="zz.png">', None, None)]
     known = [(digest("http://site.example/dir/a.png"), b"A2", 1), (digest("http://site.example/dir/a.png"), b"A1", 1), (None, b"none", None), (digest("http://site.example/b.png"), b"B", None)]
-    out = media.sequences(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(known, PAYLOADS)).collect()
+    out = media.sequences(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(known, PAYLOADS), limit).collect()
     assert len(out) == 6
     first = [r for r in out if r.page_id == 1]
     for r in first:
@@ -114,8 +117,32 @@ def test_against_the_standard_parser(pieces):
 def test_query_over_all_pages(spark, sf):
     out = media.op1_media_sequences(spark, sf)
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    assert out.count() == pages.count()
-    want = {r.page_id: plain(r.html) for r in pages.collect()}
-    got = {r.page_id: [x.text for x in r["items"]] for r in out.collect()}
-    assert sum(got[k] == [x for x in want[k] if isinstance(x, str)] for k in want) >= 0.95 * len(want)
-    assert out.where(F.size("items") == 0).count() == 0
+    rows = out.collect()
+    assert len(rows) == pages.count() and all(r["items"] for r in rows)
+    html = {r.page_id: r.html for r in pages.collect()}
+    shown = {r.page_id: plain(r.html) for r in media.illustrated(pages).collect()}
+    got = {r.page_id: r["items"] for r in rows}
+    assert sum([x.text for x in got[k] if x.kind == "text"] == [x for x in shown[k] if isinstance(x, str) and x != f"Picture beside {k}"] for k in html) >= 0.95 * len(html)
+
+    def picture(text):
+        return b"GIF89a" + hashlib.sha256(text.encode()).digest()
+
+    n = 0
+    for r in rows:
+        want = [(media.MEDIA_SITE + f"{r.page_id + 1}.gif", f"Picture beside {r.page_id}", html.get(r.page_id + 1))]
+        want += [("data:image/gif;base64", "inline", str(r.page_id))] + [(media.MEDIA_SITE + "0.gif", "logo", html.get(0))] * (r.page_id % media.SHARED_EVERY == 0)
+        want = [(u, c, None if t is None else picture(t)) for u, c, t in want]
+        found = [(x.media.url, x.media.caption, x.media.payload and bytes(x.media.payload)) for x in r["items"] if x.kind == "media"]
+        assert found == want and [x.pos for x in r["items"]] == list(range(len(r["items"])))
+        assert r["items"][0].kind == "media" and (r.n_media, r.n_resolved) == (len(want), sum(p is not None for _, _, p in want))
+        n += r.n_resolved
+    assert n > 2 * len(rows) - 10
+
+
+def test_pages_are_parsed_once(spark, sf, tmp_path):
+    """The plan that ran has one parse; references read its shuffle again."""
+    out = media.op1_media_sequences(spark, sf)
+    out.write.parquet(str(tmp_path / "out"))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1 and "ReusedExchange" in plan
