@@ -48,9 +48,9 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over values modulo 2**64; span() reads the hash of any range from them."""
+    """Prefix sums of a polynomial over values modulo 2**64; span() reads the hash of any range from them.  Values count from one, so that zeros count too."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _pow(len(values))[0], out=out[1:])
+    np.cumsum((values + np.uint64(1)) * _pow(len(values))[0], out=out[1:])
     return out
 
 
