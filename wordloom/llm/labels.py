@@ -15,7 +15,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int | tupl
     """Texts and labels of a bounded sample, at most per_class rows of label 0 and of 1 (or a bound for each), and the share of 1 among all labelled rows.
 
     Rows are taken in the order of a hash of doc_id, so a sample doesn't depend on the partitioning.  Rows without text or
-    label, or with another label, don't count; a document that is labelled twice the same way counts once, one labelled both ways not at all.
+    label, or with another label, don't count; a document that is labelled twice the same way counts once, one labelled both ways not at
+    all.  An id that stands with several texts, or many times, gives its least text, so no more rows than asked for reach the driver.
     """
     known = labels.where(labels[label].isin(0, 1) & labels["doc_id"].isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_wl_y"), F.max(label).alias("_wl_z")).where("_wl_y = _wl_z").select("doc_id", "_wl_y")
     counts = {r[0]: r[1] for r in known.groupBy("_wl_y").count().collect()}
@@ -27,7 +28,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int | tupl
         bound = min(1.0, (most[y] + 6 * math.sqrt(most[y]) + 10) / n)
         take = take | ((F.col("_wl_y") == y) & (F.pmod(order, F.lit(1 << 30)) < int(bound * (1 << 30)) + 1))
     chosen = known.where(take)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "_wl_y", F.pmod(order, F.lit(1 << 30)).alias("o"), "doc_id").collect()
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_wl_y").agg(F.min("text").alias("text")).select("text", "_wl_y", F.pmod(order, F.lit(1 << 30)).alias("o"), "doc_id").collect()
     texts, ys = [], []
     for y in (0, 1):
         mine = sorted((r.o, r.doc_id, r.text) for r in rows if r[1] == y)[: most[y]]
@@ -70,6 +71,25 @@ def platt(score: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]
     return float(a / scale), float(b)
 
 
+def logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of the chance of label 1, where its share is prior, over several inputs: Newton's method on smoothed targets, as platt(), with a small ridge on inputs scaled to equal spread."""
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    middle, spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    z = np.c_[(x - middle) / spread, np.ones(len(x))]
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    prior = min(max(prior, 1e-3), 1 - 1e-3)
+    weight = np.where(y == 1, prior / n1, (1 - prior) / n0) * len(y)
+    ridge = np.full(z.shape[1], 1e-2)
+    w = np.zeros(z.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (weight * (p - target)) + ridge * w)
+        w -= step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return w[:-1] / spread, float(w[-1] - (w[:-1] * middle / spread).sum())
+
+
 def auc(score: np.ndarray, y: np.ndarray) -> float:
     """Chance that a row of label 1 scores above one of label 0, ties counting half."""
     values, where, count = np.unique(score, return_inverse=True, return_counts=True)
