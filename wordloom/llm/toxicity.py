@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.labels import sample
 from wordloom.llm.simhash import distinct_texts
-from wordloom.llm.text import WORD, Words, fold, mix64, prefix, slices, span
+from wordloom.llm.text import Words, mix64, prefix, slices, span
 
 #: bound of the training sample, rows of label 0 and of label 1
 PER_CLASS = (6000, 3000)
@@ -37,11 +38,10 @@ ASTRAY = 1 / 5000
 WEIGHT = {0: 1.0, 1: 0.8, 2: 0.6}
 QUOTED = 0.25
 REPORTED = 0.5
-#: words before a hit, and bytes on either side, that are its context
+#: words before a hit, in its sentence, that may report it
 CUE_WORDS = 4
-REACH = 400
 TOXIC = 0.5
-CUES = frozenset("said says say called calls call quote quoted quotes wrote writes word words term insult insults sagte sagt nannte nennt zitiert wort dit disait appelle traite cite mot dijo dice llama llamó cita palabra".split())
+CUES = frozenset("said says say called calls call quote quoted quotes wrote writes word words term insult insults sagte sagt nannte nennt zitiert wort dit disait appelle traite cite mot dijo dice llama llamó cita palabra".encode().split())
 MARKS = {"“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’"}
 
 DDL = "doc_id bigint, toxicity double, n_hits int, n_misspelled int, n_quoted int, terms array<string>, toxic boolean"
@@ -172,12 +172,40 @@ def _letters_of(words: Words, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return _letters(flat, first)
 
 
-def quoted(before: str, after: str) -> bool:
-    """Whether a place in a line is inside quotation marks, given the line before and after it."""
-    before, after = before.rpartition("\n")[2], after.partition("\n")[0]
-    if before.count('"') % 2 and '"' in after:
-        return True
-    return any(before.rfind(a) > before.rfind(b) and b in after for a, b in MARKS.items())
+class Context:
+    """Where lines, sentences and quotations of a text begin and end, in bytes; found once for all its hits."""
+
+    def __init__(self, text: bytes):
+        raw = np.frombuffer(text, np.uint8)
+        self.lines = [-1, *np.flatnonzero(raw == 10).tolist(), len(text)]
+        self.ends = np.flatnonzero(np.isin(raw, np.frombuffer(b".!?\n", np.uint8))).tolist()
+        self.straight = np.flatnonzero(raw == 34).tolist()
+        places = {m: [x.start() for x in re.finditer(m.encode(), text)] for m in {*MARKS, *MARKS.values()}} if (raw >= 128).any() else {}
+        self.pairs = [(places[a], places[b]) for a, b in MARKS.items() if places.get(a) and places.get(b)]
+
+    def sentence(self, at: int) -> int:
+        """Where the sentence of a place begins."""
+        k = bisect_left(self.ends, at)
+        return self.ends[k - 1] + 1 if k else 0
+
+    def quoted(self, start: int, end: int) -> bool:
+        """Whether a place is inside quotation marks that open and close in its line."""
+        k = bisect_left(self.lines, start)
+        lo, hi = self.lines[k - 1] + 1, self.lines[bisect_left(self.lines, end)]
+        before = bisect_left(self.straight, start)
+        if (before - bisect_left(self.straight, lo)) % 2 and _some(self.straight, end, hi):
+            return True
+        return any(max(lo - 1, _last(a, start)) > max(lo - 1, _last(b, start)) and _some(b, end, hi) for a, b in self.pairs)
+
+
+def _last(places: list[int], before: int) -> int:
+    k = bisect_left(places, before)
+    return places[k - 1] if k else -1
+
+
+def _some(places: list[int], start: int, end: int) -> bool:
+    k = bisect_left(places, start)
+    return k < len(places) and places[k] < end
 
 
 def learn(texts: list[str], y: np.ndarray, share: float) -> Lexicon:
@@ -304,16 +332,16 @@ def assess(words: Words, lexicon: Lexicon) -> Iterator[tuple[int, float, int, in
         by_row[int(row[hit[0]])].append(hit)
     for r, hits in by_row.items():
         lo, hi = int(words.off[r]), int(words.off[r + 1])
+        context = Context(words.raw[lo:hi].tobytes())
         clear, wrong, cited, terms = 1.0, 0, 0, set()
         for w, distance, term in hits:
-            s, e = int(words.s[w]), int(words.e[w])
-            before = words.raw[max(lo, s - REACH) : s].tobytes().decode("utf-8", "ignore")
-            after = words.raw[e : min(hi, e + REACH)].tobytes().decode("utf-8", "ignore")
+            s, e = int(words.s[w]) - lo, int(words.e[w]) - lo
             weight = WEIGHT[distance]
-            if quoted(before, after):
+            sentence = context.sentence(s) + lo
+            if context.quoted(s, e):
                 weight *= QUOTED
                 cited += 1
-            elif CUES & {fold(x) for x in WORD.findall(re.split(r"[.!?\n]", before)[-1])[-CUE_WORDS:]}:
+            elif any(words.s[v] >= sentence and words.folded[words.s[v] : words.e[v]].tobytes() in CUES for v in range(max(int(words.first[r]), w - CUE_WORDS), w)):
                 weight *= REPORTED * 0.9
                 cited += 1
             clear *= 1 - min(weight, 0.999)
@@ -325,7 +353,7 @@ def assess(words: Words, lexicon: Lexicon) -> Iterator[tuple[int, float, int, in
 def detect(docs: DataFrame, lexicon: Lexicon, threshold: float = TOXIC) -> DataFrame:
     """One row for each document of docs(doc_id, text) that scores at least threshold.
 
-    Whole texts are read.  Null, empty and clean texts give no row; repeated rows give a row each; a null doc_id is kept; an
+    Whole texts are read, however long, and quotations looked for in whole lines.  Of terms equally near a word the first by letters counts.  Null, empty and clean texts give no row; repeated rows give a row each; a null doc_id is kept; an
     empty table, or an empty lexicon, gives no rows.  Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast((lexicon.terms, lexicon.stems))
@@ -342,5 +370,6 @@ def detect(docs: DataFrame, lexicon: Lexicon, threshold: float = TOXIC) -> DataF
 
 
 def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic ones of all documents; nulls, empty and long texts, ties, repeats, empty tables and other columns as detect() says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return detect(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
