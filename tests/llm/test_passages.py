@@ -80,3 +80,28 @@ def test_a_long_text(spark):
     got = passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
     want = {d: sum(f) for (d, _), f in brute(rows, 50).items() if any(f)}
     assert {r.doc_id: r.n_repeated for r in got} == want
+
+
+@pytest.mark.parametrize("length", [8, 72, 200])
+def test_other_lengths_against_all_windows(spark, length):
+    rows = corpus(7, length=length)
+    want = {d: sum(f) for (d, _), f in brute(rows, length).items() if any(f)}
+    got = {r.doc_id: r.n_repeated for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA), length).collect()}
+    assert got == want
+
+
+def test_lengths_that_cannot_be_kept(spark):
+    df = spark.createDataFrame(corpus(1), SCHEMA)
+    for length in (passages.WINDOW - 1, 1 << passages.GAP):
+        with pytest.raises(ValueError):
+            passages.spans(df, length)
+
+
+def test_texts_are_shuffled_once(spark, tmp_path):
+    rows = corpus(2)
+    for make in (passages.drop_repeats, passages.repeated_passages):
+        out = make(spark.createDataFrame(rows, SCHEMA))
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        moves = [x for x in plan.splitlines() if "Exchange hashpartitioning(_wl_d" in x and "REPARTITION_BY_COL" in x]
+        assert len(moves) == 2 and sum("ReusedExchange" in x for x in moves) == 1

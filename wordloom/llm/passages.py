@@ -1,7 +1,7 @@
 """Repeated passages by prefix-free parsing and suffix arrays.
 
 A passage of LENGTH words that stands at several places of the corpus is kept at the first place, in order of doc_id, and cut
-from the others.  Windows of LENGTH words are compared exactly, as follows.
+from the others.  All windows of LENGTH words are compared, word by word, a word being a 64-bit hash, as follows.
 
 Parse.  A place whose next WINDOW words have a rolling hash divisible by MODULUS is a trigger; triggers cut each document
 into phrases that overlap in a trigger, so no phrase suffix longer than a trigger is a prefix of another.  A window belongs
@@ -29,7 +29,9 @@ from wordloom.llm.text import Words, char_index, mix64, prefix, slices, span, ut
 LENGTH = 50
 WINDOW = 8
 MODULUS = 12
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 18
+#: bits of a place that hold how many windows a context has
+GAP = 16
 
 ANCHOR_DDL = "k bigint, c bigint, d bigint, t bigint, p bigint"
 SORTED_DDL = "d bigint, t bigint, p bigint, k bigint, src bigint"
@@ -77,7 +79,7 @@ def _anchors(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         r, k, c, lo, hi = anchors(Words(part.column("text")), length)
         if len(r):
             d, t = np.asarray(part.column("d")), np.asarray(part.column("t"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k.view(np.int64), c.view(np.int64), d[r], t[r], lo * 64 + hi - lo)], names=["k", "c", "d", "t", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k.view(np.int64), c.view(np.int64), d[r], t[r], (lo << GAP) + hi - lo)], names=["k", "c", "d", "t", "p"])
 
 
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,23 +127,23 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _contexts(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for part in slices(iter(batches), "text"):
         words = Words(part.column("text"))
-        wanted = part.column("wanted")
+        wanted = part.column("_wl_wanted")
         many = np.diff(np.asarray(wanted.offsets))
         flat = wanted.flatten()
         k, p = np.asarray(flat.field("k")), np.asarray(flat.field("p"))
         r = np.repeat(np.arange(part.num_rows), many)
-        size = p % 64 + length
-        hashes = words.h.astype(np.uint32)[_ranges(words.first[r] + p // 64, size)]
+        size = p % (1 << GAP) + length
+        hashes = words.h[_ranges(words.first[r] + (p >> GAP), size)]
         off = np.zeros(len(size) + 1, np.int32)
-        np.cumsum(size * 4, out=off[1:])
+        np.cumsum(size * 8, out=off[1:])
         w = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(hashes)])
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.asarray(part.column("d"))[r]), pa.array(np.asarray(part.column("t"))[r]), pa.array(p), w], names=["k", "d", "t", "p", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.asarray(part.column("_wl_d"))[r]), pa.array(np.asarray(part.column("_wl_t"))[r]), pa.array(p), w], names=["k", "d", "t", "p", "w"])
 
 
 def suffix_ranks(letters: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
     """Rank of each suffix among the suffixes of all strings, by its first depth letters at least: prefix doubling.
 
-    letters are positive; first has the strings' offsets.  A string's end sorts before every letter; equal suffixes have equal rank.
+    letters are any numbers; first has the strings' offsets.  A string's end sorts before every letter; equal suffixes have equal rank.
     """
     left = np.repeat(first[1:], np.diff(first)) - np.arange(len(letters))
     rank = np.unique(letters, return_inverse=True)[1].astype(np.int64) + 1
@@ -212,8 +214,8 @@ def _suffixes(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Rec
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         k, d, t, p = (np.asarray(batch.column(x)) for x in "kdtp")
         raw, off = utf8(batch.column("w"))
-        letters = raw.view(np.uint32).astype(np.int64) + 1
-        first = off // 4
+        letters = raw.view(np.int64)
+        first = off // 8
         o = np.lexsort((p, t, d))
         rank = np.empty(len(k), np.int64)  # rows that are equal in all are one place
         rank[o] = np.cumsum((np.diff(d[o], prepend=0) != 0) | (np.diff(t[o], prepend=0) != 0) | (np.diff(p[o], prepend=0) != 0))
@@ -226,14 +228,14 @@ def _suffixes(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         head = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(string) != 0) | (np.diff(d[source]) != 0)]))
         tail = np.append(head[1:], len(at)) - 1
         s = string[head]
-        a = p[s] // 64 + at[head] - first[s]
+        a = (p[s] >> GAP) + at[head] - first[s]
         yield pa.RecordBatch.from_arrays([pa.array(d[s]), pa.array(t[s]), pa.array(a.astype(np.int32)), pa.array((a + at[tail] - at[head] + length).astype(np.int32)), pa.array(d[source[head]])], schema=SPAN_SCHEMA)
 
     for batch in batches:
         while batch.num_rows:
             k = np.asarray(batch.column("k"))
             cut = batch.num_rows
-            if size >= CHUNK_WORDS * 4:  # enough: up to the end of the key
+            if size >= CHUNK_WORDS * 8:  # enough: up to the end of the key
                 tail = held[-1].column("k")[-1].as_py()
                 cut = int(np.argmax(k != tail)) if (k != tail).any() else batch.num_rows
                 if cut < batch.num_rows:
@@ -260,15 +262,26 @@ def _identity(docs: DataFrame) -> list[Column]:
     return [F.coalesce(docs["doc_id"].cast("bigint"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(docs["text"]).alias("t")]
 
 
+def _moved(docs: DataFrame) -> DataFrame:
+    """docs with _wl_d and _wl_t, shuffled by them.  Contexts are fetched from it and the cuts are made on it: both readers take all of
+    its columns, so that Spark shuffles the texts once."""
+    d, t = _identity(docs)
+    return docs.withColumns({"_wl_d": d, "_wl_t": t}).repartition("_wl_d", "_wl_t")
+
+
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(d, t, a, b, src): words a to b of the text repeat what stands in document src, or earlier in the same one.  May overlap."""
-    texts = docs.select(*_identity(docs), docs["text"].alias("text")).where("text is not null")
-    rows = texts.mapInArrow(lambda it: _anchors(it, length), ANCHOR_DDL)
+    if not WINDOW <= length < 1 << GAP:
+        raise ValueError(f"length must be at least {WINDOW} and less than {1 << GAP}")
+    texts = docs.select(*_identity(docs), docs["text"].alias("text"))
+    rows = texts.where("text is not null").mapInArrow(lambda it: _anchors(it, length), ANCHOR_DDL)
     met = rows.repartition("k").sortWithinPartitions("k", "c", "d", "t", "p").mapInArrow(_meet, SORTED_DDL)
     wanted = met.where("k is not null").groupBy("d", "t").agg(F.collect_list(F.struct("k", "p")).alias("wanted"))
-    contexts = texts.join(wanted, ["d", "t"]).select("d", "t", "text", "wanted").mapInArrow(lambda it: _contexts(it, length), CONTEXT_DDL)
+    moved = _moved(docs)
+    contexts = moved.join(wanted.select(F.col("d").alias("_wl_d"), F.col("t").alias("_wl_t"), F.col("wanted").alias("_wl_wanted")), ["_wl_d", "_wl_t"]).mapInArrow(lambda it: _contexts(it, length), CONTEXT_DDL)
     finer = contexts.repartition("k").sortWithinPartitions("k").mapInArrow(lambda it: _suffixes(it, length), SPAN_DDL)
-    whole = met.where("k is null").select("d", "t", F.shiftright("p", 6).cast("int").alias("a"), (F.shiftright("p", 6) + F.col("p") % 64 + length).cast("int").alias("b"), "src")
+    first = F.shiftright("p", GAP)
+    whole = met.where("k is null").select("d", "t", first.cast("int").alias("a"), (first + F.col("p") % (1 << GAP) + length).cast("int").alias("b"), "src")
     return whole.union(finer)
 
 
@@ -317,9 +330,7 @@ def _cut(text: pa.Array, found: pa.Array, again: pa.Array) -> pa.Array:
 def _tagged(docs: DataFrame, length: int) -> DataFrame:
     """docs with _wl_cut, what _cut() makes of rows with repeats, else null, and _wl_src, the documents that have the first copies."""
     found = spans(docs, length).groupBy("d", "t").agg(F.collect_list(F.struct("a", "b")).alias("_wl_f"), F.sort_array(F.collect_set("src")).alias("_wl_src"))
-    d, t = _identity(docs)
-    named = docs.withColumns({"_wl_d": d, "_wl_t": t})
-    joined = named.join(found.select(F.col("d").alias("_wl_d"), F.col("t").alias("_wl_t"), "_wl_f", "_wl_src"), ["_wl_d", "_wl_t"], "left")
+    joined = _moved(docs).join(found.select(F.col("d").alias("_wl_d"), F.col("t").alias("_wl_t"), "_wl_f", "_wl_src"), ["_wl_d", "_wl_t"], "left")
     number = F.row_number().over(Window.partitionBy("_wl_d", "_wl_t").orderBy(F.lit(1)))
     joined = joined.withColumn("_wl_n", number > 1)
     cut = F.arrow_udf(_cut, CUT)
@@ -333,7 +344,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Words are compared as text.py folds them.  A passage goes from its first word to the word that follows it, or to the
     text's end.  Documents of which no word is left go; rows equal in doc_id and text to another row go whatever their
     length.  Null, empty and short texts are otherwise left alone; a null doc_id counts as the greatest.  Equal passages
-    inside one document count too.  An empty table stays empty.  All columns are kept, text is the only one changed.
+    inside one document count too.  Whole texts count, however long.  An empty table stays empty.  All columns are kept, text is the only one changed; their
+    types must be such as Arrow takes.
     """
     rows = _tagged(docs, length)
     left = (F.col("_wl_cut.n_repeated") < F.col("_wl_cut.n_words")) & ~F.col("_wl_n")
@@ -341,11 +353,16 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Documents with repeated passages: doc_id, first_doc_ids (where the copies that stay are), n_words, n_repeated, spans (in characters) and the text without them."""
-    rows = _tagged(docs, length).where("_wl_cut is not null")
+    """Documents with repeated passages: doc_id, first_doc_ids (where the copies that stay are), n_words, n_repeated, spans (in characters) and the text without them.
+
+    Nulls, empty, short and very long texts, ties, rows alike in doc_id and text and empty tables count as in drop_repeats(): a row that is
+    there already is one repeat as a whole, whatever its length.  Other columns are ignored, whatever their names.
+    """
+    rows = _tagged(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), length).where("_wl_cut is not null")
     sources = F.when(F.col("_wl_n"), F.array("doc_id")).otherwise(F.transform("_wl_src", lambda x: F.nullif(x, F.lit((1 << 63) - 1))))
     return rows.select("doc_id", sources.alias("first_doc_ids"), "_wl_cut.n_words", "_wl_cut.n_repeated", "_wl_cut.spans", F.col("_wl_cut.text").alias("text"))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold repeated passages; nulls, empty and long texts, ties, repeats, empty tables and other columns as repeated_passages() says."""
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
