@@ -100,3 +100,22 @@ def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (5, 5), (101, 100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_split_prefixes_find_the_same(spark, monkeypatch):
+    """All prefixes heavy, or none: the same copies."""
+    df = spark.createDataFrame(corpus(4), SCHEMA)
+    light = sorted(map(tuple, simhash.near_copies(df).collect()))
+    for name, value in (("HEAVY", 0), ("PREFIX_ROWS", 0), ("HEAVY_LEAST", 0), ("SAMPLED", 1)):
+        monkeypatch.setattr(simhash, name, value)
+    assert sorted(map(tuple, simhash.near_copies(df).collect())) == light and len(light) > 20
+
+
+def test_texts_that_share_a_hash_are_no_copies(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(simhash, "text_hash", lambda c: F.pmod(F.length(c), F.lit(3)).cast("bigint"))
+    rows = [(1, "one two three", "a", "en"), (2, "four five six seven", "a", "en"), (3, "eight nine ten", "a", "en"), (4, "one two three", "a", "en"), (5, "one two three four", "a", "en"), (6, "a b", "a", "en")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, simhash.near_copies(df).collect())) == [(4, 1, 2)]
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == [1, 2, 3, 5, 6]

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.spark_tools import checkpoint, components
@@ -42,6 +42,7 @@ HEAVY_LEAST = 32
 #: texts of which a task remembers that they went out
 SEEN_TEXTS = 1 << 20
 DEEP = 1 << 60
+SECOND = 77
 
 KEY_DDL = "p bigint, t bigint, f binary, r binary"
 EDGE_DDL = "a bigint, b bigint"
@@ -272,54 +273,75 @@ def distinct_texts(texts: list[str]) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-def text_groups(docs: DataFrame) -> DataFrame:
+def text_hash(text: Column) -> Column:
+    """What names a text among the fingerprints."""
+    return F.xxhash64(text)
+
+
+def _names(docs: DataFrame) -> list[Column]:
+    """t, and u, a second hash: texts are equal if both are."""
+    return [text_hash(docs["text"]).alias("t"), F.xxhash64(F.lit(SECOND), docs["text"]).alias("u")]
+
+
+def clashes(docs: DataFrame) -> DataFrame:
+    """The t that several texts share: some 70 among 5 * 10**10 texts.  Their fingerprints link nothing."""
+    both = docs.where(docs["text"].isNotNull()).select(*_names(docs)).groupBy("t").agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
+    return checkpoint(both.where("lo != hi").select("t"))
+
+
+def text_groups(docs: DataFrame, clash: DataFrame) -> DataFrame:
     """(t, g) for each text that is near another one: t hashes the text, g names its group."""
-    texts = docs.select(F.xxhash64(docs["text"]).alias("t"), docs["text"].alias("text")).where("text is not null")
+    texts = docs.select(text_hash(docs["text"]).alias("t"), docs["text"].alias("text")).where("text is not null")
     some = texts.where(F.pmod("t", F.lit(SAMPLED)) == 0).mapInArrow(_prefixes, "p bigint, n bigint").groupBy("p").agg(F.sum("n").alias("n"))
     counts = {r.p: r.n for r in some.where(F.col("n") > HEAVY_LEAST).union(some.agg(F.lit(-1).cast("bigint").alias("p"), F.sum("n").alias("n"))).collect()}  # as many as there are prefixes, at most
     heavy = np.array(sorted(p for p, n in counts.items() if p >= 0 and n > min((counts[-1] or 0) * HEAVY, PREFIX_ROWS / SAMPLED)), np.int64)
     found = texts.mapInArrow(lambda it: _keys(it, heavy), KEY_DDL)
     edges = found.repartition("p").sortWithinPartitions("p").mapInArrow(_edges, EDGE_DDL)
-    return components(edges).select(F.col("node").alias("t"), F.col("label").alias("g"))
+    for end in "ab":
+        edges = edges.join(clash.withColumnRenamed("t", end), end, "left_anti")
+    return components(edges.select("a", "b")).select(F.col("node").alias("t"), F.col("label").alias("g"))
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """(t, doc_id, g, n, kept_id, kept_t) for each row of a group of two rows or more, exact copies included."""
-    rows = docs.where(docs["text"].isNotNull() & docs["text"].rlike(r"[\p{L}\p{N}]")).select(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("t"))
-    named = rows.join(text_groups(docs), "t", "left").select("doc_id", "t", F.coalesce("g", "t").alias("g"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("t").alias("t"))).alias("f")
-    groups = named.groupBy("g").agg(F.count("*").alias("n"), first).where("n > 1").select("g", "n", F.col("f.d").alias("kept_id"), F.col("f.t").alias("kept_t"))
-    return named.join(groups, "g").select("t", "doc_id", "g", "n", "kept_id", "kept_t")
+    """(t, u, doc_id, g, n, kept_id, kept_t, kept_u) for each row of a group of two rows or more, exact copies included.  Copies are counted before they move."""
+    clash = clashes(docs)
+    rows = docs.where(docs["text"].isNotNull() & docs["text"].rlike(r"[\p{L}\p{N}]")).select(docs["doc_id"].alias("doc_id"), *_names(docs))
+    texts = rows.groupBy("t", "u").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("d"))).alias("first"))
+    named = texts.join(text_groups(docs, clash), "t", "left").join(clash.withColumn("alone", F.lit(True)), "t", "left")
+    named = named.select("t", "u", "n", "first", F.struct(F.coalesce("g", "t").alias("g"), F.when(F.col("alone"), F.col("u")).alias("u")).alias("g"))
+    groups = named.groupBy("g").agg(F.sum("n").alias("n"), F.min(F.struct("first", "t", "u")).alias("f")).where("n > 1")
+    groups = groups.select("g", "n", F.col("f.first.d").alias("kept_id"), F.col("f.t").alias("kept_t"), F.col("f.u").alias("kept_u"))
+    return rows.join(named.select("t", "u", "g").join(groups, "g"), ["t", "u"])
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) with one document left of each group of near copies: the one with the least doc_id, null last.
+    """docs(doc_id, text, ...) with one document left of each group of near copies: the one with the least doc_id, null last; of
+    those with the same doc_id, the one of least hash.
 
     Groups are connected: two texts are near if their fingerprints differ in at most MAX_BITS bits and they share a key;
-    texts equal in all are near.  Of repeated rows, equal in doc_id and text, one stays.  Null texts, and texts without a
-    letter or digit, have no fingerprint: they are in no group and all stay.  An empty table stays empty.  All columns are
-    kept as they are.
+    texts equal in all are near.  Whole texts count, however long.  Of repeated rows, equal in doc_id and text, one stays.  Null texts, and texts without a
+    letter or digit, have no fingerprint: they are in no group and all stay.  Texts whose first hash is that of another text, though the second
+    differs, are near nothing but their exact copies.  An empty table stays empty.  All columns are kept as they are.
     """
-    groups = checkpoint(members(docs).select("t", "g", "kept_id", "kept_t").distinct())
-    tagged = docs.withColumn("_wl_t", F.xxhash64(docs["text"]))
-    found = tagged.join(groups.select(F.col("t").alias("_wl_t"), F.col("kept_id").alias("_wl_k"), F.col("kept_t").alias("_wl_kt"), F.lit(1).alias("_wl_in")), "_wl_t", "left")
-    number = F.row_number().over(_window("_wl_t", "doc_id"))
-    stays = F.col("_wl_in").isNull() | (F.col("doc_id").eqNullSafe(F.col("_wl_k")) & (F.col("_wl_t") == F.col("_wl_kt")) & (F.col("_wl_n") == 1))
+    groups = checkpoint(members(docs).select("t", "u", "kept_id", "kept_t", "kept_u").distinct())
+    t, u = _names(docs)
+    tagged = docs.withColumns({"_wl_t": t, "_wl_u": u})
+    found = tagged.join(groups.select(F.col("t").alias("_wl_t"), F.col("u").alias("_wl_u"), F.col("kept_id").alias("_wl_k"), F.col("kept_t").alias("_wl_kt"), F.col("kept_u").alias("_wl_ku"), F.lit(1).alias("_wl_in")), ["_wl_t", "_wl_u"], "left")
+    number = F.row_number().over(Window.partitionBy("_wl_t", "_wl_u", "doc_id").orderBy(F.lit(1)))
+    stays = F.col("_wl_in").isNull() | (F.col("doc_id").eqNullSafe(F.col("_wl_k")) & (F.col("_wl_t") == F.col("_wl_kt")) & (F.col("_wl_u") == F.col("_wl_ku")) & (F.col("_wl_n") == 1))
     return found.withColumn("_wl_n", number).where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _window(*by: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by).orderBy(F.lit(1))
-
-
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, kept_doc_id, group_size): every document that drop_near_copies() drops, beside the one that stays for it."""
+    """(doc_id, kept_doc_id, group_size): every document that drop_near_copies() drops, beside the one that stays for it.
+
+    Nulls, empty and long texts, ties, empty tables and other columns count as there; rows equal to the one that stays, in doc_id too, have no row here.
+    """
     rows = members(docs)
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("t") == F.col("kept_t"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("t") == F.col("kept_t")) & (F.col("u") == F.col("kept_u"))
     return rows.where(~same).select("doc_id", F.col("kept_id").alias("kept_doc_id"), F.col("n").alias("group_size"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All near copies among the documents; nulls, empty and long texts, ties, repeats, empty tables and other columns as near_copies() says."""
     return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
