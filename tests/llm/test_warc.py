@@ -76,3 +76,11 @@ def test_written_files_read_back(spark, tmp_path):
         whole = warc.assemble(got)
         assert sorted(bytes(r.payload) for r in whole.collect()) == sorted((h or "").encode() for _, _, h, *_ in rows)
         assert whole.where("not intact").count() == 0
+
+
+def test_long_header_lines_are_read_whole(tmp_path):
+    path = tmp_path / "long.warc"
+    uri = "http://a.example/" + "x" * 200_000 + ":y"
+    path.write_bytes(record(b"one", uri=uri) + record(b"two") + b"no record " * 1000)
+    rows = list(warc.read_file(str(path), 100))
+    assert [(r[4], r[8], r[11]) for r in rows] == [(uri, b"one", True), ("http://a.example/", b"two", True), (None, b"", False)]

@@ -146,4 +146,5 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BI
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in bins; nulls, empty and long texts, ties, repeats, empty tables and other columns as best_fit() says."""
     return best_fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -155,7 +155,7 @@ def _score(batches: Iterable[pa.RecordBatch], model: Model, keep: float | None,
 def score(docs: DataFrame, model: Model, keep: float | None = None, column: str = "p_good") -> DataFrame:
     """docs with the calibrated chance that a row's text is good; only rows of at least keep, if given.
 
-    Every row has a score: null and empty texts have no n-grams and get the model's chance for that, the bias.  Repeated rows
+    Whole texts are scored, however long.  Every row has a score: null and empty texts have no n-grams and get the model's chance for that, the bias.  Repeated rows, and texts of the same n-grams,
     score alike.  An empty table stays empty.  All columns of docs are kept; one that is called like the score is replaced.
     """
     import pyarrow.compute  # noqa: F401  (pa.compute in the workers)
@@ -178,7 +178,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFra
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its score; keep: whether the rules keep it."""
+    """Every document with its score; keep: whether the rules keep it.  Nulls, empty and long texts, ties, repeats, empty tables and
+    other columns as score() says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs.select("doc_id", "text"), model).select("doc_id", "p_good", (F.col("p_good") >= KEEP).alias("keep"))

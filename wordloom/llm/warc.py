@@ -24,6 +24,8 @@ from wordloom.llm.text import utf8
 
 CHUNK_BYTES = 16384
 BATCH_BYTES = 1 << 22
+#: bytes that the first line of a record, 'WARC/1.1', must fit in
+VERSION_BYTES = 64
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 CHUNK_DDL = "page_id bigint, record_id string, chunk_no int, n_bytes int, start bigint, chunk binary, digest string, last boolean"
@@ -69,7 +71,7 @@ def chunk_records(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     """pages(page_id, url, html) as chunk rows of at most chunk_bytes bytes of the UTF-8 payload.
 
     record_id is 'page-<page_id>'; a null page_id gives null ids.  A null or empty payload gives one empty chunk, so that
-    no record is lost.  Repeated rows give repeated chunk rows.  An empty table gives no rows.  A chunk may end inside a
+    no record is lost; a payload of any length is chunked whole.  Repeated rows give repeated chunk rows.  An empty table gives no rows.  A chunk may end inside a
     character; only the chunks together are text.  Other columns are ignored.
     """
     if chunk_bytes < 1:
@@ -88,13 +90,16 @@ def assemble(chunks: DataFrame) -> DataFrame:
 
 
 def _headers(stream) -> tuple[bytes, dict[str, str]] | None:
-    line = stream.readline(8192)
+    """Version and fields of the next record, None at the end.  A field of any length is read whole; of what doesn't begin as a record only the first bytes are."""
+    line = stream.readline(VERSION_BYTES)
     while line in (b"\r\n", b"\n"):
-        line = stream.readline(8192)
+        line = stream.readline(VERSION_BYTES)
     if not line:
         return None
     version, fields = line.strip(), {}
-    while (line := stream.readline(65536)) not in (b"\r\n", b"\n", b""):
+    if not version.startswith(b"WARC/") or not line.endswith(b"\n"):
+        return b"", fields
+    while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
         name, sep, value = line.partition(b":")
         if sep:
             fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
@@ -189,6 +194,7 @@ def write_warc(pages: DataFrame, folder: str, compress: bool = True) -> DataFram
 
 
 def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages in chunks; nulls, empty and long payloads, ties, repeats, empty tables and other columns as chunk_records() says."""
     return chunk_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
