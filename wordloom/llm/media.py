@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import html
 import re
 from collections.abc import Iterable, Iterator
@@ -28,12 +27,12 @@ HIDDEN = frozenset(("script", "style", "template", "title", "textarea", "svg"))
 BLOCKS = frozenset("address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 MEDIA = {"img": ("src", "data-src", "srcset"), "video": ("src", "poster"), "audio": ("src",), "source": ("src", "srcset"), "embed": ("src",), "object": ("data",), "iframe": ("src",)}
 
-REF = "struct<tag:string,url:string,digest:string,caption:string,inline:binary>"
-PARSED = f"array<struct<pos:int,kind:string,text:string,media:{REF}>>"
-REF_TYPE = pa.struct([("tag", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("inline", pa.binary())])
+# what is shuffled: places, kinds and digests follow from it
+PARSED = "array<struct<text:string,media:struct<tag:string,url:string,caption:string,inline:binary>>>"
+REF_TYPE = pa.struct([("tag", pa.string()), ("url", pa.string()), ("caption", pa.string()), ("inline", pa.binary())])
 #: references to one digest beyond which they are joined in slices
 HOT_REFS = 1 << 20
-ITEM_TYPE = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("media", REF_TYPE)])
+ITEM_TYPE = pa.struct([("text", pa.string()), ("media", REF_TYPE)])
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -51,19 +50,19 @@ def references(tag: str, found: dict[str, str], base: str) -> list[dict]:
 
 def reference(tag: str, address: str, base: str) -> dict:
     """The media reference to an address."""
-    out = {"tag": tag, "url": address, "digest": None, "caption": None, "inline": None}
+    out = {"tag": tag, "url": address, "caption": None, "inline": None}
     if address[:5].lower() == "data:":
         head, _, data = address[5:].partition(",")
         try:
             payload = base64.b64decode(unquote_to_bytes(data)) if head.lower().endswith(";base64") else unquote_to_bytes(data)
         except (binascii.Error, ValueError):
             payload = unquote_to_bytes(data)
-        return out | {"url": f"data:{head}", "digest": hashlib.sha256(payload).hexdigest(), "inline": payload}
+        return out | {"url": f"data:{head}", "inline": payload}
     try:
         address = urljoin(base, address)
     except ValueError:
         pass
-    return out | {"url": address, "digest": hashlib.sha256(address.encode("utf-8", "surrogatepass")).hexdigest()}
+    return out | {"url": address}
 
 
 def parse(page: str, base: str = "") -> list[dict]:
@@ -165,8 +164,8 @@ def sequences(pages: DataFrame, payloads: DataFrame, hot_refs: int = HOT_REFS) -
     parsed = pages.select(row.alias("row"), pages["html"].alias("html")).mapInArrow(_parse, f"row struct<id:bigint,page_id:bigint,url:string>, items {PARSED}")
     # the filter, and explode_outer: otherwise Spark infers filters for one reader of the shuffle alone, which then is another one
     parsed = parsed.where("row is not null").repartition("row")
-    media = F.explode_outer(F.filter("items", lambda x: x["kind"] == "media"))
-    refs = parsed.select("row", media.alias("x")).where("x is not null and x.media.inline is null").select("row", F.col("x.pos").alias("pos"), F.col("x.media.digest").alias("digest"))
+    refs = F.array_compact(F.transform("items", lambda x, i: F.when(x["media"].isNotNull() & x["media"]["inline"].isNull(), F.struct(i.alias("pos"), _digest(x["media"]).alias("digest")))))
+    refs = parsed.select("row", F.explode_outer(refs).alias("x")).where("x is not null").select("row", "x.pos", "x.digest")
     wanted = refs.groupBy("digest").agg(F.count("*").alias("n"))
     known = payloads.where("digest is not null").select(payloads["digest"].alias("digest"), payloads["payload"].cast("binary").alias("payload"))
     known = known.join(wanted, "digest").groupBy("digest").agg(F.min("payload").alias("payload"), F.first("n").alias("n"))
@@ -177,14 +176,23 @@ def sequences(pages: DataFrame, payloads: DataFrame, hot_refs: int = HOT_REFS) -
     many = sliced.join(copies, ["digest", "slice"])
     met = few.select("row", "pos", "payload").unionByName(many.select("row", "pos", "payload"))
     found = met.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "payload"))).alias("found"))
-    payload = lambda x: F.coalesce(x["media"]["inline"], F.try_element_at("found", x["pos"]))
-    resolved = lambda x: F.when(x["kind"] == "media", F.struct(*[x["media"][c].alias(c) for c in ("tag", "url", "digest", "caption")], payload(x).alias("payload")))
-    items = F.transform("items", lambda x: F.struct(x["pos"].alias("pos"), x["kind"].alias("kind"), x["text"].alias("text"), resolved(x).alias("media")))
+
+    def item(x: Column, i: Column) -> Column:
+        media = x["media"]
+        payload = F.coalesce(media["inline"], F.try_element_at("found", i))
+        whole = F.struct(media["tag"].alias("tag"), media["url"].alias("url"), _digest(media).alias("digest"), media["caption"].alias("caption"), payload.alias("payload"))
+        return F.struct(i.alias("pos"), F.when(media.isNull(), "text").otherwise("media").alias("kind"), x["text"].alias("text"), F.when(media.isNotNull(), whole).alias("media"))
+
+    items = F.transform("items", item)
     out = parsed.join(found, "row", "left").select("row.page_id", "row.url", items.alias("items"))
     count = lambda test: F.size(F.filter("items", test))
     return out.select("page_id", "url", "items", count(lambda x: x["kind"] == "text").alias("n_text"), count(lambda x: x["kind"] == "media").alias("n_media"), count(lambda x: x["media"]["payload"].isNotNull()).alias("n_resolved"))
 
 
+def _digest(media: Column) -> Column:
+    return F.sha2(F.coalesce(media["inline"], media["url"].cast("binary")), 256)
+
+
 MEDIA_SITE = "https://media.example/"
 SHARED_EVERY = 3
 
