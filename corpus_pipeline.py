@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm import mixing, packing, passages, quality_rules, simhash
-from wordloom.llm.spark_tools import shared_folder
+from wordloom.shared import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,10 +38,11 @@ class Engine:
         if method == "schema":
             return registry(corpus.spark, corpus.fields, corpus.name)
         if method == "search":
-            return planner.bibliography(corpus, specs[0], query.get("ordertype", "frequency"), query.get("limit", planner.TOP), query.get("seed", 0))
-        if method != "data":
+            frames = [planner.bibliography(corpus, s, query.get("ordertype", "frequency"), query.get("limit", planner.TOP), query.get("seed", 0)) for s in specs]
+        elif method != "data":
             raise QueryError(f"no method {method}")
-        frames = [planner.data(corpus, s) for s in specs]
+        else:
+            frames = [planner.data(corpus, s) for s in specs]
         if not isinstance(query.get("search_limits"), list):
             return frames[0]
         return reduce(DataFrame.unionByName, [f.withColumn("Search", F.lit(k)) for k, f in enumerate(frames)])
@@ -67,8 +68,9 @@ class Engine:
             if method == "schema":
                 return {"status": "success", "data": df.to_dict("records")} if form == "json" else formats.render(df, form, [], list(df.columns))
             if method == "search":
-                found = df["searchstring"].tolist() or ["<empty results>"]
-                return {"status": "success", "data": found} if form == "json" else formats.render(df, form, [], list(df.columns))
+                parts = [df[df["Search"] == k] for k in range(len(limits))] if isinstance(limits, list) else [df]
+                found = [p["searchstring"].tolist() or ["<empty results>"] for p in parts]
+                return {"status": "success", "data": found if isinstance(limits, list) else found[0]} if form == "json" else formats.render(df, form, [], list(df.columns))
             spec = normalise(q)[0]
             groups = list(spec.groups) + (["Search"] if isinstance(limits, list) else [])
             out = formats.render(df, form, groups, list(spec.counttypes))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WX, TX, WY, TY = "_wx", "_tx", "_wy", "_ty"
@@ -21,11 +21,9 @@ def ratio(a: Column, b: Column) -> Column:
 
 @dataclass(frozen=True)
 class CountType:
-    """words, texts: which base counts it needs; compare: whether it needs the denominator; column: the formula, given
-    (frame, groups), which returns the frame it needs and the column."""
+    """compare: whether it needs the denominator; column: the formula, given (frame, groups), which returns the frame it needs and
+    the column."""
 
-    words: bool
-    texts: bool
     compare: bool
     column: Callable[[DataFrame, list[str]], tuple[DataFrame, Column]]
 
@@ -42,11 +40,14 @@ def _totals(df: DataFrame, **aggregates: Column) -> DataFrame:
 def _pmi(name: str) -> Callable:
     def column(df: DataFrame, groups: list[str]) -> tuple[DataFrame, Column]:
         total = f"{name}_total"
-        df = _totals(df, **{total: F.sum(name)}) if total not in df.columns else df
+        out = _totals(df, **{total: F.sum(name)})
         expected = F.col(total).cast("double")
-        for g in groups:
-            expected = expected * (F.sum(name).over(Window.partitionBy(g)) / F.col(total))
-        return df, F.when(F.col(name) > 0, F.ln(F.col(name) / expected))
+        for k, g in enumerate(groups):  # sums joined back, not windows: a group's rows may be a vocabulary
+            key, value = f"{name}_g{k}", f"{name}_s{k}"
+            part = df.groupBy(F.col(f"`{g}`").alias(key)).agg(F.sum(name).alias(value))
+            out = out.join(part, F.col(f"`{g}`").eqNullSafe(F.col(key))).drop(key)
+            expected = expected * (F.col(value) / F.col(total))
+        return out, F.when(F.col(name) > 0, F.ln(F.col(name) / expected))
 
     return column
 
@@ -64,23 +65,23 @@ def _dunning(x: str, y: str, total: Callable[[Column], Column], tag: str) -> Cal
 
 
 COUNT_TYPES: dict[str, CountType] = {
-    "WordCount": CountType(True, False, False, _plain(lambda wx, tx, wy, ty: wx)),
-    "TextCount": CountType(False, True, False, _plain(lambda wx, tx, wy, ty: tx)),
-    "WordsPerMillion": CountType(True, False, True, _plain(lambda wx, tx, wy, ty: ratio(wx * 1000000, wy))),
-    "TotalWords": CountType(True, False, True, _plain(lambda wx, tx, wy, ty: wy)),
-    "TotalTexts": CountType(False, True, True, _plain(lambda wx, tx, wy, ty: ty)),
-    "SumWords": CountType(True, False, True, _plain(lambda wx, tx, wy, ty: wx + wy)),
-    "SumTexts": CountType(False, True, True, _plain(lambda wx, tx, wy, ty: tx + ty)),
-    "WordsRatio": CountType(True, False, True, _plain(lambda wx, tx, wy, ty: ratio(wx, wy))),
-    "TextPercent": CountType(False, True, True, _plain(lambda wx, tx, wy, ty: ratio(tx * 100, ty))),
-    "TextRatio": CountType(False, True, True, _plain(lambda wx, tx, wy, ty: ratio(tx, ty))),
-    "HitsPerText": CountType(True, True, True, _plain(lambda wx, tx, wy, ty: ratio(wx, tx))),
-    "TextLength": CountType(True, True, True, _plain(lambda wx, tx, wy, ty: ratio(wy, ty))),
-    "TFIDF": CountType(True, True, True, _plain(lambda wx, tx, wy, ty: F.when(tx == 0, F.lit(0.0)).otherwise(ratio(wx, wy) * F.ln(ty / tx)))),
-    "PMI_words": CountType(True, False, True, _pmi(WX)),
-    "PMI_texts": CountType(False, True, True, _pmi(TX)),
-    "Dunning": CountType(True, False, True, _dunning(WX, WY, F.sum, "_dw")),
-    "DunningTexts": CountType(False, True, True, _dunning(TX, TY, F.max, "_dt")),
+    "WordCount": CountType(False, _plain(lambda wx, tx, wy, ty: wx)),
+    "TextCount": CountType(False, _plain(lambda wx, tx, wy, ty: tx)),
+    "WordsPerMillion": CountType(True, _plain(lambda wx, tx, wy, ty: ratio(wx * 1000000, wy))),
+    "TotalWords": CountType(True, _plain(lambda wx, tx, wy, ty: wy)),
+    "TotalTexts": CountType(True, _plain(lambda wx, tx, wy, ty: ty)),
+    "SumWords": CountType(True, _plain(lambda wx, tx, wy, ty: wx + wy)),
+    "SumTexts": CountType(True, _plain(lambda wx, tx, wy, ty: tx + ty)),
+    "WordsRatio": CountType(True, _plain(lambda wx, tx, wy, ty: ratio(wx, wy))),
+    "TextPercent": CountType(True, _plain(lambda wx, tx, wy, ty: ratio(tx * 100, ty))),
+    "TextRatio": CountType(True, _plain(lambda wx, tx, wy, ty: ratio(tx, ty))),
+    "HitsPerText": CountType(True, _plain(lambda wx, tx, wy, ty: ratio(wx, tx))),
+    "TextLength": CountType(True, _plain(lambda wx, tx, wy, ty: ratio(wy, ty))),
+    "TFIDF": CountType(True, _plain(lambda wx, tx, wy, ty: F.when(tx == 0, F.lit(0.0)).otherwise(ratio(wx, wy) * F.ln(ty / tx)))),
+    "PMI_words": CountType(True, _pmi(WX)),
+    "PMI_texts": CountType(True, _pmi(TX)),
+    "Dunning": CountType(True, _dunning(WX, WY, F.sum, "_dw")),
+    "DunningTexts": CountType(True, _dunning(TX, TY, F.max, "_dt")),
 }
 ALIASES = {"Occurrences_per_Million_Words": "WordsPerMillion", "Raw_Counts": "WordCount", "Percentage_of_Books": "TextPercent", "Number_of_Books": "TextCount"}
 

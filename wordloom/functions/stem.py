@@ -13,12 +13,13 @@ _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic"
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
-def _consonant(word: str, i: int) -> bool:
-    return word[i] not in "aeiou" and (word[i] != "y" or i == 0 or not _consonant(word, i - 1))
-
-
 def _form(word: str) -> str:
-    return "".join("c" if _consonant(word, i) else "v" for i in range(len(word)))
+    """c for each consonant, v for each vowel; y is a vowel after a consonant."""
+    out = []
+    for letter in word:
+        vowel = letter in "aeiou" or (letter == "y" and bool(out) and out[-1] == "c")
+        out.append("v" if vowel else "c")
+    return "".join(out)
 
 
 def _measure(word: str) -> int:
@@ -26,11 +27,11 @@ def _measure(word: str) -> int:
 
 
 def _short_end(word: str) -> bool:
-    return len(word) > 2 and _form(word[-3:] if word[-3] != "y" else word)[-3:] == "cvc" and word[-1] not in "wxy"
+    return len(word) > 2 and _form(word)[-3:] == "cvc" and word[-1] not in "wxy"
 
 
 def _double(word: str) -> bool:
-    return len(word) > 1 and word[-1] == word[-2] and _consonant(word, len(word) - 1)
+    return len(word) > 1 and word[-1] == word[-2] and _form(word)[-1] == "c"
 
 
 def _replace(word: str, table: dict[str, str]) -> str:

@@ -1,8 +1,8 @@
 """A corpus: documents with fields, and their words.
 
 Words come either straight from the texts (TextWords), or from sorted fact tables that build() wrote (TableWords).  In the first
-case a word limit is an expression on the document's row: no join, no shuffle.  In the second, facts are sorted by folded word, so
-a word limit prunes row groups, and meets the documents through one join on bookid.
+case a word limit is an expression on the document's row: no join, no shuffle, and one pass over its tokens.  In the second, facts
+are sorted by folded word, so a word limit prunes row groups, and meets the documents through one join on bookid.
 """
 
 from __future__ import annotations
@@ -21,7 +21,10 @@ from wordloom.plans.fields import TYPES, Field
 
 VOCABULARY = 1_500_000
 LONGEST = 30
+#: bytes of a vocabulary up to which it is broadcast
+BROADCAST_BYTES = 128 << 20
 HITS = "_hits"
+TOKENS = "_tokens"
 CASELESS = ("Case_Insensitive", "case_insensitive", "lowercase")
 CASED = ("Case_Sensitive", "casesens")
 STEMMED = ("All_Words_with_Same_Stem", "stem")
@@ -66,18 +69,26 @@ class TextWords:
     pattern: str = PATTERN
 
     def hits(self, docs: DataFrame, phrases: list[list[str]], collation: str) -> DataFrame:
-        """docs that hold a phrase, with how often."""
+        """docs with how often they hold a phrase; those that don't may be there with 0."""
         if collation in STEMMED:  # Python works on words, not inside arrays
             rows = self.words(docs, len(phrases[0]))
             parts = ["word"] if len(phrases[0]) == 1 else ["word1", "word2"]
             found = rows.where(phrase_test([F.col(p) for p in parts], phrases, collation)).groupBy("bookid").agg(F.sum(HITS).alias(HITS))
             return docs.join(found, "bookid")
-        t = tokens(F.col("_text"), self.pattern)
+        return self.tokenised(docs).withColumn(HITS, self.count(phrases, collation))
+
+    def tokenised(self, docs: DataFrame) -> DataFrame:
+        """docs with their tokens, and nwords from these.  All that is counted by row comes from this one column; a filter on such counts
+        would make Spark tokenise again below it, so callers count conditionally."""
+        return docs.withColumn(TOKENS, tokens(F.col("_text"), self.pattern)).withColumn("nwords", F.size(TOKENS).cast("bigint"))
+
+    def count(self, phrases: list[list[str]], collation: str) -> Column:
+        """How often a phrase is among a row's tokens."""
         if len(phrases[0]) == 1:
-            some = F.filter(t, lambda x: phrase_test([x], phrases, collation))
+            some = F.filter(TOKENS, lambda x: phrase_test([x], phrases, collation))
         else:
-            some = F.filter(bigrams(t), lambda x: phrase_test([x["word1"], x["word2"]], phrases, collation))
-        return docs.withColumn(HITS, F.size(some).cast("bigint")).where(F.col(HITS) > 0)
+            some = F.filter(bigrams(F.col(TOKENS)), lambda x: phrase_test([x["word1"], x["word2"]], phrases, collation))
+        return F.size(some).cast("bigint")
 
     def words(self, docs: DataFrame, n: int) -> DataFrame:
         """A row for each word, or pair, of each document, with column word, or word1 and word2."""
@@ -88,10 +99,26 @@ class TextWords:
             return docs.select(*keep, F.explode(t).alias("word"), one)
         return docs.select(*keep, F.explode(bigrams(t)).alias("_b"), one).select(*keep, "_b.word1", "_b.word2", HITS)
 
+    def counted(self, docs: DataFrame, n: int) -> DataFrame:
+        """A row for each distinct word, or pair, of each document, with its count: no shuffle."""
+        keep = [c for c in docs.columns if c not in ("_text", TOKENS)]
+        t = tokens(F.col("_text"), self.pattern)
+        return runs(docs.select(*keep, F.sort_array(t if n == 1 else bigrams(t)).alias(TOKENS)), keep, n)
+
     def nwords(self) -> Column:
         return F.size(tokens(F.col("_text"), self.pattern)).cast("bigint")
 
 
+def runs(rows: DataFrame, keep: list[str], n: int) -> DataFrame:
+    """The distinct elements of the sorted array TOKENS of each row, words or pairs, with their counts, beside the columns to keep."""
+    at = F.element_at
+    first = F.when(F.size(TOKENS) > 0, F.filter(F.sequence(F.lit(1), F.size(TOKENS)), lambda i: (i == 1) | (at(TOKENS, i) != at(TOKENS, F.greatest(i - 1, F.lit(1))))))
+    rows = rows.select(*keep, TOKENS, first.alias("_first"))
+    each = F.transform("_first", lambda i, k: F.struct(at(TOKENS, i).alias("w"), (F.coalesce(F.get("_first", k + 1), F.size(TOKENS) + 1) - i).cast("bigint").alias("n")))
+    rows = rows.select(*keep, F.explode(each).alias("_r"))
+    return rows.select(*keep, *([F.col("_r.w").alias("word")] if n == 1 else ["_r.w.word1", "_r.w.word2"]), F.col("_r.n").alias(HITS))
+
+
 @dataclass
 class TableWords:
     """Words read from fact tables (bookid, word, folded, count) and (bookid, word1, word2, folded1, folded2, count)."""
@@ -115,6 +142,14 @@ class TableWords:
         facts = self.unigrams.select("bookid", "word", F.col("count").alias(HITS)) if n == 1 else self.bigrams.select("bookid", "word1", "word2", F.col("count").alias(HITS))
         return docs.join(facts, "bookid")
 
+    counted = words
+
+
+def spread(docs: DataFrame, key: str) -> DataFrame:
+    """docs over all cores, where they come from fewer files than there are cores; many files, as of any large corpus, stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, F.col(f"`{key}`")) if 0 < len(docs.inputFiles()) < cores else docs
+
 
 @dataclass
 class Corpus:
@@ -125,6 +160,7 @@ class Corpus:
     fields: dict[str, Field]
     source: TextWords | TableWords
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    vocabulary: DataFrame | None = None  # of a corpus that was built: (wordid, word, count, casesens, lowercase, stem)
 
     @property
     def spark(self) -> SparkSession:
@@ -134,6 +170,7 @@ class Corpus:
     def from_documents(cls, name: str, docs: DataFrame, fields: list[Field], key: str = "filename", text: str = "text", pattern: str = PATTERN) -> Corpus:
         """A corpus over docs as they are.  Missing text of a categorical field is the empty string; fields that aren't unique hold arrays."""
         source = TextWords(pattern)
+        docs = spread(docs, key)
         out = [F.col(f"`{key}`").alias("bookid")]
         known: dict[str, Field] = {}
         tables: dict[str, DataFrame] = {}
@@ -189,31 +226,83 @@ class Corpus:
             return self
         return replace(self, catalog=self.catalog.persist())
 
-    def build(self, path: str, vocabulary_size: int = VOCABULARY) -> Corpus:
+    @classmethod
+    def from_counts(cls, name: str, counts: DataFrame, docs: DataFrame, fields: list[Field], key: str = "filename", pairs: DataFrame | None = None) -> Corpus:
+        """A corpus whose words were counted elsewhere: counts(key, word, count) and pairs(key, word1, word2, count) beside a catalog docs.
+
+        Equal entries of a document add up; those of documents that the catalog hasn't, of null words and of no positive count are left out.  A
+        document without entries has no words.
+        """
+        whole = cls.from_documents(name, docs.withColumn("_wl_text", F.lit("")), fields, key, "_wl_text")
+        parts = {1: ["word"], 2: ["word1", "word2"]}
+
+        def facts(df: DataFrame | None, n: int) -> DataFrame:
+            if df is None:
+                df = counts.sparkSession.createDataFrame([], "bookid string, word1 string, word2 string, count bigint").select(F.col("bookid").cast(whole.catalog.schema["bookid"].dataType).alias("bookid"), "word1", "word2", "count")
+            else:
+                df = df.select(F.col(f"`{key}`").alias("bookid"), *parts[n], F.col("count").cast("bigint").alias("count"))
+            df = df.where(" and ".join(f"{p} is not null" for p in parts[n]) + " and count > 0").groupBy("bookid", *parts[n]).agg(F.sum("count").alias("count"))
+            return df.join(whole.catalog.select("bookid"), "bookid", "left_semi").withColumns({p.replace("word", "folded"): F.lower(p) for p in parts[n]})
+
+        words = facts(counts, 1)
+        sizes = words.groupBy("bookid").agg(F.sum("count").alias("nwords"))
+        catalog = whole.catalog.drop("_text", "nwords").join(sizes, "bookid", "left").withColumn("nwords", F.coalesce("nwords", F.lit(0).cast("bigint")))
+        return replace(whole, catalog=catalog, source=TableWords(words, facts(pairs, 2)))
+
+    def build(self, path: str, vocabulary_size: int = VOCABULARY, resume: bool = False) -> Corpus:
         """Write catalog, vocabulary and sorted facts under path and give the corpus that reads them.
 
-        Words beyond the vocabulary_size most frequent are dropped, with every pair that holds one; nwords counts the words kept.
+        Words beyond the vocabulary_size most frequent, or longer than LONGEST characters, are dropped, with every pair that holds one; nwords
+        counts the words kept.  Texts are tokenised once; words and pairs are counted within a document's row, so that facts are
+        shuffled once, to be sorted.  Each stage is a folder; with resume those that an earlier build of the same corpus finished are kept.
         """
         if not isinstance(self.source, TextWords):
             raise QueryError("this corpus is built already")
         spark = self.spark
-        texts = self.catalog.select("bookid", "_text")
-        counts = self.source.words(texts, 1).groupBy("bookid", "word").agg(F.sum(HITS).alias("count"))
-        counts.write.mode("overwrite").parquet(f"{path}/counts")
-        counts = spark.read.parquet(f"{path}/counts")
-        vocabulary(counts, vocabulary_size).withColumns({"casesens": F.col("word"), "lowercase": F.lower("word"), "stem": stem(F.col("word"))}).write.mode("overwrite").parquet(f"{path}/words")
-        words = spark.read.parquet(f"{path}/words").select("word")
-        kept = counts.join(words, "word").select("bookid", "word", F.lower("word").alias("folded"), "count")
-        kept.repartitionByRange("folded", "bookid").sortWithinPartitions("folded", "word", "bookid").write.mode("overwrite").parquet(f"{path}/unigrams")
-        pairs = self.source.words(texts, 2).groupBy("bookid", "word1", "word2").agg(F.sum(HITS).alias("count"))
-        for c in ("word1", "word2"):
-            pairs = pairs.join(words.withColumnRenamed("word", c), c)
-        pairs = pairs.select("bookid", "word1", "word2", F.lower("word1").alias("folded1"), F.lower("word2").alias("folded2"), "count")
-        pairs.repartitionByRange("folded1", "folded2", "bookid").sortWithinPartitions("folded1", "folded2", "bookid").write.mode("overwrite").parquet(f"{path}/bigrams")
-        nwords = spark.read.parquet(f"{path}/unigrams").groupBy("bookid").agg(F.sum("count").alias("nwords"))
-        catalog = self.catalog.drop("nwords", "_text").join(nwords, "bookid", "left").withColumn("nwords", F.coalesce("nwords", F.lit(0).cast("bigint")))
-        catalog.write.mode("overwrite").parquet(f"{path}/catalog")
+        spec = json.dumps({"name": self.name, "vocabulary": vocabulary_size, "pattern": self.source.pattern, "fields": [asdict(f) for f in self.fields.values()]})
+        ready = resume and folder_exists(spark, f"{path}/spec/_SUCCESS") and "".join(r[0] for r in spark.read.text(f"{path}/spec").collect()) == spec
+        if not ready:
+            for old in ("spec", TOKENS.strip("_"), "words", "unigrams", "bigrams", "catalog", "tables", "fields"):
+                remove_folder(spark, f"{path}/{old}")
+            spark.createDataFrame([(spec,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
+
+        def stage(name: str, make) -> DataFrame:
+            if not folder_exists(spark, f"{path}/{name}/_SUCCESS"):
+                make().write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.parquet(f"{path}/{name}")
+
+        def rows(n: int) -> DataFrame:
+            t = bigrams(F.col(TOKENS)) if n == 2 else F.col(TOKENS)
+            return runs(texts().select("bookid", F.sort_array(t).alias(TOKENS)), ["bookid"], n)
+
+        def known(df: DataFrame, *parts: str) -> DataFrame:
+            for p in parts:
+                df = df.where(F.length(p) <= LONGEST) if complete else df.join(listed.withColumnRenamed("word", p), p)
+            return df
+
+        def facts(n: int) -> DataFrame:
+            parts = ["word"] if n == 1 else ["word1", "word2"]
+            folded = [p.replace("word", "folded") for p in parts]
+            df = known(rows(n), *parts).select("bookid", *parts, *[F.lower(p).alias(f) for p, f in zip(parts, folded, strict=True)], F.col(HITS).alias("count"))
+            return df.repartitionByRange(*folded, "bookid").sortWithinPartitions(*folded, *parts, "bookid")
+
+        def catalog() -> DataFrame:
+            sizes = known(rows(1), "word").groupBy("bookid").agg(F.sum(HITS).alias("nwords"))
+            return self.catalog.drop("nwords", "_text").join(sizes, "bookid", "left").withColumn("nwords", F.coalesce("nwords", F.lit(0).cast("bigint")))
+
+        texts = lambda: stage(TOKENS.strip("_"), lambda: self.catalog.select("bookid", tokens(F.col("_text"), self.source.pattern).alias(TOKENS)))
+        forms = {"casesens": F.col("word"), "lowercase": F.lower("word"), "stem": stem(F.col("word"))}
+        counts = lambda: texts().select(F.explode(TOKENS).alias("word"), F.lit(1).cast("bigint").alias("count")).where(F.length("word") <= LONGEST)
+        words = stage("words", lambda: vocabulary(counts(), vocabulary_size).withColumns(forms))
+        many, size = words.agg(F.count("*"), F.sum(F.octet_length("word") + 48)).first()
+        complete = many < vocabulary_size  # then no word is cut for being rare
+        listed = words.select("word")
+        listed = F.broadcast(listed) if (size or 0) <= BROADCAST_BYTES else listed
+        stage("unigrams", lambda: facts(1))
+        stage("bigrams", lambda: facts(2))
+        stage("catalog", catalog)
         self.save_tables(path, list(self.tables))
+        remove_folder(spark, f"{path}/{TOKENS.strip('_')}")
         return Corpus.open(spark, path)
 
     def save_tables(self, path: str, which: list[str] | None = None) -> None:
@@ -231,7 +320,38 @@ class Corpus:
         spec = json.loads("".join(r[0] for r in spark.read.text(f"{path}/fields").collect()))
         fields = {x["name"]: Field(**x | {"derived": tuple(tuple(d) for d in x["derived"])}) for x in spec["fields"]}
         source = TableWords(spark.read.parquet(f"{path}/unigrams"), spark.read.parquet(f"{path}/bigrams"))
-        return cls(spec["name"], spark.read.parquet(f"{path}/catalog"), fields, source, {t: spark.read.parquet(f"{path}/tables/{t}") for t in spec["tables"]})
+        return cls(spec["name"], spark.read.parquet(f"{path}/catalog"), fields, source, {t: spark.read.parquet(f"{path}/tables/{t}") for t in spec["tables"]}, spark.read.parquet(f"{path}/words"))
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    """Whether there is such a file or folder, on any file system that Spark reads."""
+    path, system = _path(spark, folder)
+    return system.exists(path)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path, system = _path(spark, folder)
+    system.delete(path, True)
+
+
+def ranked(counts: DataFrame, value: str, name: str) -> DataFrame:
+    """counts(value, count) with a column name: places from 1 by falling count, then value.
+
+    Places are offsets of cells, of one count and the value's first two letters, and places within a cell; only cells, not values, are
+    numbered in one task.
+    """
+    cells = counts.withColumn("_cell", F.substring(value, 1, 2))
+    sizes = cells.groupBy("count", "_cell").agg(F.count("*").alias("_n"))
+    until = F.sum("_n").over(Window.orderBy(F.desc("count"), "_cell").rowsBetween(Window.unboundedPreceding, 0))
+    offsets = sizes.select(F.col("count").alias("_count"), F.col("_cell").alias("_of"), (until - F.col("_n")).alias("_offset"))
+    inner = F.row_number().over(Window.partitionBy("count", "_cell").orderBy(value))
+    placed = cells.withColumn("_inner", inner).join(offsets, (F.col("count") == F.col("_count")) & F.col("_cell").eqNullSafe(F.col("_of")))
+    return placed.select(*counts.columns, (F.col("_offset") + F.col("_inner")).cast("int").alias(name))
 
 
 def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> DataFrame:
@@ -249,7 +369,7 @@ def category_ids(catalog: DataFrame, name: str, per: int = 100_000) -> DataFrame
     counts = catalog.groupBy(F.col(f"`{name}`").alias("value")).agg(F.count("*").alias("count"))
     least = F.broadcast(catalog.agg(F.bround(F.count("*") / per, 0).cast("bigint").alias("_least")))
     kept = counts.crossJoin(least).where("count >= _least").drop("_least")
-    return kept.select(F.row_number().over(Window.orderBy(F.desc("count"), "value")).alias("id"), "value", "count")
+    return ranked(kept, "value", "id").select("id", "value", "count")
 
 
 def top_categories(ids: DataFrame, least: int = 20, most: int = 500) -> DataFrame:

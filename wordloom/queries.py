@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from wordloom.api import Engine
 from wordloom.functions.timefields import FIELDS, derive, derived_name
 from wordloom.functions.tokens import PATTERN, all_grams, bigrams, ngrams, tokens
-from wordloom.plans.corpus import Corpus, category_ids, top_categories, vocabulary
+from wordloom.plans.corpus import HITS, Corpus, category_ids, top_categories, vocabulary
 from wordloom.plans.fields import Field, infer_frame
+from wordloom.shared import shared_folder
 from wordloom.sources import formats, readers
 
 P = PATTERN.replace("'", "''")
@@ -42,6 +43,32 @@ def shop(spark: SparkSession, sf: str) -> Corpus:
     return corpus.add_metadata(t("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey", [Field("r_name")], "region")
 
 
+_BUILT: dict[tuple[str, str], Corpus] = {}
+
+
+def built(spark: SparkSession, sf: str) -> Corpus:
+    """library as build() writes it; built once in a session."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _BUILT:
+        name = f"{shared_folder(spark)}/wordloom-library-{key[0]}-{len(_BUILT)}"
+        _BUILT[key] = library(spark, sf).build(name)
+    return _BUILT[key]
+
+
+def counted_orders(spark: SparkSession, sf: str) -> Corpus:
+    """orders as documents, the parts of their items as words that were counted elsewhere."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    counts = items.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").cast("string").alias("word"), F.col("l_quantity").cast("bigint").alias("count"))
+    return Corpus.from_counts("counted_orders", counts, spark.read.parquet(f"{sf}/orders.parquet"), [Field("o_orderstatus"), Field("o_orderpriority")], key="o_orderkey")
+
+
+def parts(spark: SparkSession, sf: str) -> Corpus:
+    """parts as documents, with their sizes, some of them unreadable, as texts."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    size = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("about "), F.col("p_size").cast("string"))).otherwise(F.col("p_size").cast("string"))
+    return Corpus.from_documents("parts", part.withColumn("size", size), [Field("p_brand"), Field("size")], key="p_partkey", text="p_name")
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
@@ -67,17 +94,17 @@ def add(name: str, sql: str | None = None):
     return register
 
 
-T = f"t AS (SELECT doc_id, lang, source, n_chars, regexp_extract_all(text, '{P}') AS toks FROM documents)"
+T = f"t AS MATERIALIZED (SELECT doc_id, lang, source, n_chars, regexp_extract_all(text, '{P}') AS toks FROM documents)"
 D = "d AS (SELECT *, CAST(len(toks) AS BIGINT) AS nwords FROM t)"
 
 
 def hit(*words: str, cased: bool = False) -> str:
     terms = ", ".join("'" + (w if cased else w.lower()).replace("'", "''") + "'" for w in words)
-    return f"len(list_filter(toks, x -> {'x' if cased else 'lower(x)'} IN ({terms})))"
+    return f"len([x FOR x IN toks IF {'x' if cased else 'lower(x)'} IN ({terms})])"
 
 
 def pair(a: str, b: str) -> str:
-    return f"len(list_filter(list_zip(toks[:-2], toks[2:]), x -> lower(x[1]) = '{a}' AND lower(x[2]) = '{b}'))"
+    return f"len([x FOR x IN list_zip(toks[:-2], toks[2:]) IF lower(x[1]) = '{a}' AND lower(x[2]) = '{b}'])"
 
 
 def counted(hits: str, groups: str = "", where: str = "TRUE", words: str = "WordCount", texts: str | None = None) -> str:
@@ -106,10 +133,10 @@ def div(a: str, b: str) -> str:
 
 # words and documents
 add("tokens_unigram_counts", f"SELECT doc_id AS bookid, word, count(*) AS count FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{P}')) AS word FROM documents) GROUP BY ALL")(
-    lambda spark, sf: library(spark, sf).source.words(library(spark, sf).catalog.select("bookid", "_text"), 1).groupBy("bookid", "word").agg(F.count("*").alias("count"))
+    lambda spark, sf: library(spark, sf).source.counted(library(spark, sf).catalog.select("bookid", "_text"), 1).withColumnRenamed(HITS, "count")
 )
 add("tokens_bigram_counts", f"WITH {T} SELECT doc_id AS bookid, b[1] AS word1, b[2] AS word2, count(*) AS count FROM (SELECT doc_id, unnest(list_zip(toks[:-2], toks[2:])) AS b FROM t) GROUP BY ALL")(
-    lambda spark, sf: library(spark, sf).source.words(library(spark, sf).catalog.select("bookid", "_text"), 2).groupBy("bookid", "word1", "word2").agg(F.count("*").alias("count"))
+    lambda spark, sf: library(spark, sf).source.counted(library(spark, sf).catalog.select("bookid", "_text"), 2).withColumnRenamed(HITS, "count")
 )
 
 
@@ -155,8 +182,8 @@ ask("bigram_phrase", W + counted(pair("of", "the"), "source", texts="TextCount")
 ask("case_sensitive", W + counted(hit("The", cased=True), "lang"), search_limits={"word": ["The"]}, words_collation="Case_Sensitive", groups=["lang"])
 ask("case_insensitive", W + counted(hit("The"), "lang"), search_limits={"word": ["The"]}, groups=["lang"])
 ask("lowercase_collation", W + counted(hit("la"), "lang"), search_limits={"word": ["LA"]}, words_collation="lowercase", groups=["lang"])
-ask("accent_insensitive", W + counted("len(list_filter(toks, x -> strip_accents(lower(x)) = 'e'))", "lang"), search_limits={"word": ["é"]}, words_collation="accent_insensitive", groups=["lang"])
-ask("stem_collation", None, search_limits={"word": ["being"]}, words_collation="stem", groups=["lang"])
+ask("accent_insensitive", W + counted("len([x FOR x IN toks IF strip_accents(lower(x)) = 'e'])", "lang"), search_limits={"word": ["é"]}, words_collation="accent_insensitive", groups=["lang"])
+ask("stem_collation", W + counted(hit("be", "being", "beings", "bes", "be's"), "lang"), search_limits={"word": ["being"]}, words_collation="stem", groups=["lang"])
 ask("unknown_word", W + counted(hit("nosuchwordatall")), search_limits={"word": ["nosuchwordatall"]})
 ask("half_known_bigram", W + counted(pair("the", "nosuchwordatall"), "lang"), search_limits={"word": ["the nosuchwordatall"]}, groups=["lang"])
 ask("group_by_unigram", f"SELECT unigram, count(*) AS WordCount, count(DISTINCT doc_id) AS TextCount FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{P}')) AS unigram FROM documents) GROUP BY ALL", groups=["unigram"], counttype=["WordCount", "TextCount"])
@@ -174,7 +201,7 @@ ask("filter_nested", W + whole("lang", "(lang = 'en' AND source = 'src1') OR (la
 ask("filter_range", W + whole("lang", "n_chars >= 1000 AND n_chars < 2000"), search_limits={"n_chars": {"$gte": 1000, "$lt": 2000}}, groups=["lang"])
 ask("filter_lte_gt", W + whole("lang", "n_chars <= 2000 AND n_chars > 500"), search_limits={"n_chars": {"$lte": 2000, "$gt": 500}}, groups=["lang"])
 ask("filter_grep", W + whole("source", "regexp_matches(source, 'SRC1[0-4]$', 'i')"), search_limits={"source": {"$grep": "SRC1[0-4]$"}}, groups=["source"])
-ask("filter_numeric_on_string", W + whole("lang", "try_cast(source AS DOUBLE) <= 10"), search_limits={"source": {"$lte": 10}}, groups=["lang"])
+ask("filter_numeric_on_string", f"SELECT p_brand, CAST(sum(len(regexp_extract_all(p_name, '{P}'))) AS BIGINT) AS WordCount, count(*) AS TextCount FROM part WHERE p_partkey % 7 <> 0 AND p_size >= 9 AND p_size <= 10 GROUP BY p_brand", parts, search_limits={"size": {"$lte": 10, "$gte": 9}}, groups=["p_brand"], counttype=["WordCount", "TextCount"])
 ask("filter_empty_list", W + whole("lang"), search_limits={"lang": []}, groups=["lang"])
 ask("filter_with_words", W + counted(hit("the"), "source", "lang = 'en' AND n_chars > 1000"), search_limits={"word": ["the"], "lang": "en", "n_chars": {"$gt": 1000}}, groups=["source"])
 
@@ -186,7 +213,7 @@ ask("metadata_join_labels", W + "SELECT toxic, CAST(sum(nwords) AS BIGINT) AS Wo
 ask("metadata_filter_labels", W + whole("lang", "doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)", texts="TextCount"), search_limits={"quality": 0}, groups=["lang"], counttype=["WordCount", "TextCount"])
 SHOP = f"o AS (SELECT *, regexp_extract_all(o_orderpriority, '{P}') AS toks FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 ask("anchored_snowflake", f"WITH {SHOP} SELECT r_name, CAST(sum(len(toks)) AS BIGINT) AS WordCount, count(*) AS TextCount FROM o GROUP BY r_name", shop, groups=["r_name"], counttype=["WordCount", "TextCount"])
-ask("anchored_snowflake_words", f"WITH {SHOP} SELECT n_name, c_mktsegment, count(*) AS TextCount FROM o WHERE list_contains(list_transform(toks, x -> lower(x)), 'urgent') AND r_name = 'ASIA' GROUP BY ALL", shop, search_limits={"word": ["urgent"], "r_name": "ASIA"}, groups=["n_name", "c_mktsegment"], counttype="TextCount")
+ask("anchored_snowflake_words", f"WITH {SHOP} SELECT n_name, c_mktsegment, count(*) AS TextCount FROM o WHERE list_contains([lower(x) FOR x IN toks], 'urgent') AND r_name = 'ASIA' GROUP BY ALL", shop, search_limits={"word": ["urgent"], "r_name": "ASIA"}, groups=["n_name", "c_mktsegment"], counttype="TextCount")
 ask("derived_time_group", f"SELECT CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, CAST(dayofyear(make_date(1, month(o_orderdate), 1)) AS INTEGER) AS o_orderdate_month_year, CAST(sum(len(regexp_extract_all(o_orderpriority, '{P}'))) AS BIGINT) AS WordCount FROM orders GROUP BY ALL", shop, groups=["o_orderdate_year", "o_orderdate_month_year"])
 
 # comparisons
@@ -213,16 +240,19 @@ for _name, _c in (("PMI_words", "wx"), ("PMI_texts", "tx")):
 
 
 def dunning(x: str, y: str, total: str) -> str:
-    return f", z AS (SELECT *, CASE WHEN {x} = 0 THEN 0.5 ELSE CAST({x} AS DOUBLE) END AS a, CASE WHEN {y} = 0 THEN 0.5 ELSE CAST({y} AS DOUBLE) END AS b FROM xy), s AS (SELECT *, (SELECT {total}(a) FROM z) AS c, (SELECT {total}(b) FROM z) AS d FROM z), e AS (SELECT *, ln(a / (c * (a + b) / (c + d))) AS l, ln(b / (d * (a + b) / (c + d))) AS r FROM s)"
+    return f", z AS MATERIALIZED (SELECT *, CASE WHEN {x} = 0 THEN 0.5 ELSE CAST({x} AS DOUBLE) END AS a, CASE WHEN {y} = 0 THEN 0.5 ELSE CAST({y} AS DOUBLE) END AS b FROM xy), s AS (SELECT *, (SELECT {total}(a) FROM z) AS c, (SELECT {total}(b) FROM z) AS d FROM z), e AS (SELECT *, ln(a / (c * (a + b) / (c + d))) AS l, ln(b / (d * (a + b) / (c + d))) AS r FROM s)"
 
 
 WORDS_EN = "SELECT unigram, count(*) AS {0}, count(DISTINCT doc_id) AS {1} FROM (SELECT doc_id, lang, source, unnest(toks) AS unigram FROM t) WHERE lang = 'en' AND {2} GROUP BY unigram"
 G2 = "round(CASE WHEN l < r THEN -1 ELSE 1 END * 2 * (a * l + b * r), 4)"
 
 
+DUNNING = {"database": "library", "search_limits": {"lang": "en", "source": "src1"}, "compare_limits": {"lang": "en", "source": "src2"}, "groups": ["unigram"], "counttype": "Dunning"}
+
+
 def dunning_query(name: str, counttype: str, cols: tuple[str, str], total: str) -> None:
     sql = sides(WORDS_EN.format("wx", "tx", "source = 'src1'"), WORDS_EN.format("wy", "ty", "source = 'src2'"), ["unigram"], f"{G2} AS {counttype} FROM e", dunning(*cols, total))
-    q = {"database": "library", "search_limits": {"lang": "en", "source": "src1"}, "compare_limits": {"lang": "en", "source": "src2"}, "groups": ["unigram"], "counttype": counttype}
+    q = DUNNING | {"counttype": counttype}
     QUERIES[name] = lambda spark, sf: Engine(library(spark, sf)).frame(q).select("unigram", F.round(counttype, 4).alias(counttype))
     SQL[name] = sql
 
@@ -241,11 +271,17 @@ ask("flagship", sides(counted(hit("the", "la", "le", "der"), "lang, source", wor
 
 # searching, schema, formats
 ask("bibliography_topk", W + f"SELECT doc_id AS bookid, CAST(doc_id AS VARCHAR) AS searchstring, round(h * 10000.0 / nwords, 6) AS score FROM (SELECT *, {hit('the')} AS h FROM d) WHERE h > 0 AND lang = 'en' ORDER BY h * 10000.0 / nwords DESC, doc_id LIMIT 100", method="search", search_limits={"word": ["the"], "lang": "en"})
-ask("random_sample", None, method="search", ordertype="random", search_limits={"lang": "fr"}, seed=5)
-ask("weighted_sample", None, method="search", ordertype="weighted", search_limits={"word": ["the"]}, seed=5)
+CHANCE = "((CAST('0x' || substr(md5('5:' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496)"
+ask("random_sample", f"SELECT doc_id AS bookid, CAST(doc_id AS VARCHAR) AS searchstring, round({CHANCE}, 6) AS score FROM documents WHERE lang = 'fr' ORDER BY {CHANCE} DESC, doc_id LIMIT 100", method="search", ordertype="random", search_limits={"lang": "fr"}, seed=5)
+ask("weighted_sample", W + f"SELECT doc_id AS bookid, CAST(doc_id AS VARCHAR) AS searchstring, round(ln({CHANCE}) / h, 6) AS score FROM (SELECT *, {hit('the')} AS h FROM d) WHERE h > 0 ORDER BY ln({CHANCE}) / h DESC, doc_id LIMIT 100", method="search", ordertype="weighted", search_limits={"word": ["the"]}, seed=5)
+BY_HITS = "SELECT doc_id AS bookid, CAST(doc_id AS VARCHAR) AS searchstring, round(h * 10000.0 / nwords, 6) AS score, {0} AS Search FROM (SELECT *, {1} AS h FROM d) WHERE h > 0 AND lang = '{2}' ORDER BY h * 10000.0 / nwords DESC, doc_id LIMIT 100"
+ask("search_several", W + f"(SELECT * FROM ({BY_HITS.format(0, hit('the'), 'en')})) UNION ALL (SELECT * FROM ({BY_HITS.format(1, hit('la'), 'fr')}))", method="search", search_limits=[{"word": ["the"], "lang": "en"}, {"word": ["la"], "lang": "fr"}])
+
+
+COLUMNS = "SELECT column_name AS name, CASE WHEN column_name = 'n_chars' THEN 'time' ELSE 'categorical' END AS type, column_name AS description, '{0}' AS tablename, 'library' AS dbname, 'bookid' AS anchor FROM (DESCRIBE {1}) WHERE column_name NOT IN ('doc_id', 'text')"
 
 
-@add("schema", "SELECT * FROM (VALUES ('lang', 'categorical', 'lang', 'catalog', 'library', 'bookid'), ('n_chars', 'time', 'n_chars', 'catalog', 'library', 'bookid'), ('quality', 'categorical', 'quality', 'labels', 'library', 'bookid'), ('source', 'categorical', 'source', 'catalog', 'library', 'bookid'), ('toxic', 'categorical', 'toxic', 'labels', 'library', 'bookid')) v(name, type, description, tablename, dbname, anchor)")
+@add("schema", f"{COLUMNS.format('catalog', 'documents')} UNION ALL {COLUMNS.format('labels', 'labels')}")
 def _schema(spark: SparkSession, sf: str) -> DataFrame:
     return Engine(library(spark, sf)).frame({"database": "library", "method": "schema"})
 
@@ -257,10 +293,17 @@ def _json_c(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(x[1], x[0]) if isinstance(x, list) else (x, 1) for x in runs], "lang string, n bigint")
 
 
-@add("inferred_fields", "SELECT * FROM (VALUES ('event_id', 'categorical', TRUE), ('event_type', 'categorical', TRUE), ('props', 'categorical', TRUE), ('ts', 'categorical', TRUE), ('user_id', 'categorical', TRUE), ('value', 'categorical', TRUE)) v(name, datatype, is_unique)")
+DATED = "SELECT '{0}' AS name, CASE WHEN count(*) <= 2 * count(DISTINCT {1}) THEN 'time' ELSE 'categorical' END AS datatype, TRUE AS is_unique FROM orders"
+
+
+@add("inferred_fields", f"{DATED.format('order_date', 'CAST(o_orderdate AS DATE)')} UNION ALL {DATED.format('order_time', 'o_orderkey')} UNION ALL SELECT * FROM (VALUES ('searchstring', 'searchstring', TRUE), ('tags', 'categorical', FALSE), ('o_orderstatus', 'categorical', TRUE)) v(name, datatype, is_unique)")
 def _infer(spark: SparkSession, sf: str) -> DataFrame:
-    fields = infer_frame(spark.read.parquet(f"{sf}/events.parquet"))
-    return spark.createDataFrame([(f.name, f.datatype, f.unique) for f in sorted(fields, key=lambda f: f.name)], "name string, datatype string, is_unique boolean")
+    """Of orders: a date that recurs, a time that doesn't, a list, a title; filename is the key, and count is reserved."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    mixed = orders.select(F.col("o_orderkey").cast("string").alias("filename"), day.alias("order_date"), F.concat_ws(" ", day, "o_orderkey").alias("order_time"), F.array("o_orderpriority", "o_orderstatus").alias("tags"), F.concat(F.lit("Order "), "o_orderkey").alias("searchstring"), "o_orderstatus", F.lit(1).alias("count"))
+    fields = infer_frame(mixed)
+    return spark.createDataFrame([(f.name, f.datatype, f.unique) for f in fields], "name string, datatype string, is_unique boolean")
 
 
 @add("pretokenized_counts", "SELECT CAST(l_orderkey AS VARCHAR) AS filename, CAST(l_partkey AS VARCHAR) AS word, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS count FROM lineitem GROUP BY l_orderkey, l_partkey")
@@ -291,3 +334,30 @@ assert set(TIME_SQL) == set(FIELDS)
 @add("bigram_structs", f"WITH {T} SELECT CAST(sum(greatest(len(toks) - 1, 0)) AS BIGINT) AS pairs FROM t")
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.size(bigrams(tokens(F.col("text"))))).alias("pairs"))
+
+
+# counts made elsewhere
+LINES = "l AS (SELECT o_orderkey, o_orderstatus, CAST(l_partkey AS VARCHAR) AS word, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL HAVING n > 0)"
+ask("pretokenized_wordcount", f"WITH {LINES}, x AS (SELECT o_orderstatus, sum(n) AS wx, count(DISTINCT o_orderkey) AS tx FROM l WHERE word IN ('1', '2', '3') GROUP BY 1), y AS (SELECT o_orderstatus, sum(n) AS wy FROM l GROUP BY 1) SELECT o_orderstatus, CAST(coalesce(wx, 0) AS BIGINT) AS WordCount, CAST(coalesce(tx, 0) AS BIGINT) AS TextCount, round(coalesce(wx, 0) * 1000000.0 / wy, 6) AS WordsPerMillion FROM y LEFT JOIN x USING (o_orderstatus)", counted_orders, search_limits={"word": ["1", "2", "3"]}, groups=["o_orderstatus"], counttype=["WordCount", "TextCount", "WordsPerMillion"])
+ask("pretokenized_by_word", f"WITH {LINES} SELECT word AS unigram, CAST(sum(n) AS BIGINT) AS WordCount, count(*) AS TextCount FROM l GROUP BY word", counted_orders, groups=["unigram"], counttype=["WordCount", "TextCount"])
+
+# a corpus that was built: words of at most 30 characters, facts sorted by word
+TB = f"t AS MATERIALIZED (SELECT doc_id, lang, source, n_chars, [x FOR x IN raw IF length(x) <= 30] AS toks, raw FROM (SELECT *, regexp_extract_all(text, '{P}') AS raw FROM documents))"
+BUILT = {"make": built, "database": "library"}
+WB = f"WITH {TB}, {D} "
+ask("built_words_per_million", sides(X, Y, ["lang"], f"wx AS WordCount, round({div('wx * 1000000', 'wy')}, 6) AS WordsPerMillion, round({div('tx * 100', 'ty')}, 6) AS TextPercent FROM xy").replace(T, TB), **BUILT, **THE, counttype=["WordCount", "WordsPerMillion", "TextPercent"])
+ask("built_case_sensitive", WB + counted(hit("The", cased=True), "lang"), **BUILT, search_limits={"word": ["The"]}, words_collation="Case_Sensitive", groups=["lang"])
+ask("built_bigram", WB + counted(pair("of", "the").replace("toks", "raw"), "source", texts="TextCount"), **BUILT, search_limits={"word": ["of the"]}, groups=["source"], counttype=["WordCount", "TextCount"])
+ask("built_group_by_unigram", WB + "SELECT unigram, lang, count(*) AS WordCount, count(DISTINCT doc_id) AS TextCount FROM (SELECT doc_id, lang, unnest(toks) AS unigram FROM t) GROUP BY ALL", **BUILT, groups=["unigram", "lang"], counttype=["WordCount", "TextCount"])
+ask("built_group_by_bigram", WB + "SELECT bigram1, count(*) AS WordCount, count(DISTINCT doc_id) AS TextCount FROM (SELECT doc_id, b[1] AS bigram1, b[2] AS bigram2 FROM (SELECT doc_id, unnest(list_zip(raw[:-2], raw[2:])) AS b FROM t)) WHERE length(bigram1) <= 30 AND length(bigram2) <= 30 GROUP BY ALL", **BUILT, groups=["bigram1"], counttype=["WordCount", "TextCount"])
+ask("built_metadata", WB + whole("lang, source", texts="TextCount"), **BUILT, groups=["lang", "source"], counttype=["WordCount", "TextCount"])
+ask("built_labels", WB + "SELECT toxic, CAST(sum(h) AS BIGINT) AS WordCount, count(*) AS TextCount FROM (SELECT *, " + hit("the") + " AS h FROM d) JOIN labels USING (doc_id) WHERE h > 0 GROUP BY toxic", **BUILT, search_limits={"word": ["the"]}, groups=["toxic"], counttype=["WordCount", "TextCount"])
+ask("built_pmi", sides(XP, YP, ["lang", "source"], f"{PMI.format('wx')} AS PMI_words FROM xy").replace(T, TB), **BUILT, search_limits={"word": ["the", "la"]}, groups=["lang", "source"], counttype="PMI_words")
+ask("built_bibliography", WB + f"SELECT doc_id AS bookid, CAST(doc_id AS VARCHAR) AS searchstring, round(h * 10000.0 / nwords, 6) AS score FROM (SELECT *, {hit('the')} AS h FROM d) WHERE h > 0 AND lang = 'en' ORDER BY h * 10000.0 / nwords DESC, doc_id LIMIT 100", **BUILT, method="search", search_limits={"word": ["the"], "lang": "en"})
+SQL["built_dunning"] = SQL["dunning"].replace(T, TB)
+QUERIES["built_dunning"] = lambda spark, sf: Engine(built(spark, sf)).frame(DUNNING).select("unigram", F.round("Dunning", 4).alias("Dunning"))
+
+
+@add("built_vocabulary", f"WITH {TB}, v AS (SELECT word, count(*) AS count FROM (SELECT unnest(toks) AS word FROM t) GROUP BY word) SELECT CAST(row_number() OVER (ORDER BY count DESC, word) - 1 AS INTEGER) AS wordid, word, count, lower(word) AS lowercase FROM v")
+def _built_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return built(spark, sf).vocabulary.select("wordid", "word", "count", "lowercase")

@@ -72,7 +72,6 @@ def gram_size(path: str) -> int:
 
 def feature_counts(counts: DataFrame) -> DataFrame:
     """(word, count, rank) from files of (word, count), added up: a ranked word list."""
-    from pyspark.sql import Window
+    from wordloom.plans.corpus import ranked
 
-    total = counts.groupBy("word").agg(F.sum("count").alias("count"))
-    return total.select("word", "count", F.row_number().over(Window.orderBy(F.desc("count"), "word")).alias("rank"))
+    return ranked(counts.groupBy("word").agg(F.sum("count").alias("count")), "word", "rank")
