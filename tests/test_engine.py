@@ -4,19 +4,22 @@ import gzip
 import io
 import json
 import math
+import shutil
 import threading
 import urllib.request
 from collections import Counter
 
 import pandas as pd
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from wordloom.api import Engine, serve
 from wordloom.errors import QueryError
 from wordloom.functions.stem import porter
 from wordloom.functions.timefields import derive, parse_date
-from wordloom.functions.tokens import fold_accents, ngrams, tokens
-from wordloom.plans.corpus import Corpus, vocabulary
+from wordloom.functions.tokens import PATTERN, fold_accents, ngrams, tokens
+from wordloom.plans.corpus import Corpus, TextWords, ranked, vocabulary
 from wordloom.plans.fields import Field, infer, join_path, parse_descriptions
 from wordloom.plans.spec import normalise, phrases
 from wordloom.sources import formats, readers
@@ -278,3 +281,81 @@ def test_http(lazy):
 
 def test_accents(spark):
     assert spark.range(1).select(fold_accents(F.lit("ÉàÜñ"))).first()[0] == "eaun"
+
+
+def test_porter_takes_words_of_any_length():
+    assert porter("y" * 100_001 + "ed") == "y" * 99_999 + "i" and porter("yyyed") == "yi" and porter("a" * 100_000 + "ing") == "a" * 100_000
+    assert porter("syzygy") == "syzygi" and porter("yes") == "ye" and porter("toying") == "toi" and porter("boyish") == "boyish"
+
+
+@given(st.lists(st.text(st.sampled_from("abgmrst'’.#$0129 _é\u0301ıİſﬀᏣ١\n-,") | st.sampled_from("abc 1.'s#"), max_size=40), min_size=1, max_size=40))
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_fast_pattern_is_the_same_language(spark, texts):
+    df = spark.createDataFrame([(t,) for t in [*texts, "3rd's Mr. st. a# ab# $4.50 x's 1'2 don't etc.", "mr", "12.5.6"]], "t string")
+    both = df.select(tokens(F.col("t")).alias("a"), F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0)).alias("b"))
+    assert both.where("a != b").count() == 0
+
+
+def test_counts_within_a_row(spark):
+    texts = [("a", "x y x y x"), ("b", ""), ("c", None), ("d", "one"), ("e", ": 1: 11:1 : 1:1"), ("a", "y y")]
+    docs = spark.createDataFrame(texts, "bookid string, _text string")
+    source = TextWords()
+    for n, names in ((1, ["word"]), (2, ["word1", "word2"])):
+        got = source.counted(docs, n).groupBy("bookid", *names).agg(F.sum("_hits").alias("n"))
+        want = source.words(docs, n).groupBy("bookid", *names).agg(F.count("*").alias("n"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_both_sides_are_one_pass(lazy):
+    q = {"database": "fed", "search_limits": {"word": ["the"], "*author": "hamilton"}, "groups": ["number"], "counttype": ["WordsPerMillion", "TextPercent"]}
+    df = Engine(lazy).frame(q)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("regexp_extract_all") == 1 and plan.count("Scan") == 1 and "Join" not in plan
+
+
+def test_search_over_several_limits(engine):
+    limits = [{"word": ["cat"]}, {"word": ["absent"]}, {"author": "madison", "word": ["dog"]}]
+    assert ask(engine, method="search", search_limits=limits) == [["b", "a"], ["<empty results>"], ["b"]]
+
+
+def test_hasword_beside_a_comparison(engine):
+    got = ask(engine, search_limits={"word": ["the"], "hasword": ["dog"]}, groups=["author"], counttype=["WordCount", "TextCount", "TotalTexts"])
+    assert got == {"hamilton": [3, 1, 1], "madison": [1, 1, 1]}
+
+
+def test_a_build_goes_on_where_it_stopped(lazy, tmp_path):
+    path = str(tmp_path / "c")
+    lazy.build(path)
+    for gone in ("bigrams", "catalog", "fields"):
+        shutil.rmtree(f"{path}/{gone}")
+    before = (tmp_path / "c/unigrams/_SUCCESS").stat().st_mtime_ns
+    again = lazy.build(path, resume=True)
+    assert (tmp_path / "c/unigrams/_SUCCESS").stat().st_mtime_ns == before and ask(Engine(again), search_limits={"word": ["the mat"]}) == [1]
+    other = lazy.build(path, vocabulary_size=3, resume=True)  # another corpus: nothing is kept
+    assert other.vocabulary.count() == 3 and (tmp_path / "c/unigrams/_SUCCESS").stat().st_mtime_ns != before
+
+
+def test_long_words_stay_out_of_a_built_corpus(spark, tmp_path):
+    long = "w" * 31
+    docs = spark.createDataFrame([("a", f"one {long} two one"), ("b", long)], "filename string, text string")
+    built = Corpus.from_documents("x", docs, []).build(str(tmp_path / "x"))
+    assert sorted(map(tuple, built.source.unigrams.select("bookid", "word", "count").collect())) == [("a", "one", 2), ("a", "two", 1)]
+    assert [(r.word1, r.word2) for r in built.source.bigrams.collect()] == [("two", "one")]
+    assert {r.bookid: r.nwords for r in built.catalog.collect()} == {"a": 3, "b": 0}
+
+
+def test_corpus_from_counts(spark):
+    docs = spark.createDataFrame([("a", "x"), ("b", None), ("c", "x")], "filename string, author string")
+    counts = spark.createDataFrame([("a", "The", 2), ("a", "The", 1), ("b", "the", 5), ("b", None, 9), ("zz", "the", 7), ("b", "no", 0)], "filename string, word string, count int")
+    pairs = spark.createDataFrame([("a", "of", "the", 4)], "filename string, word1 string, word2 string, count int")
+    one = Engine(Corpus.from_counts("fed", counts, docs, [Field("author")], pairs=pairs))
+    assert ask(one, search_limits={"word": ["the"]}, groups=["author"], counttype=["WordCount", "TextCount", "TotalTexts"]) == {"": [5, 1, 1], "x": [3, 1, 2]}
+    assert ask(one, search_limits={"word": ["of the"]}) == [4]
+    assert ask(Engine(Corpus.from_counts("fed", counts, docs, [Field("author")])), search_limits={"word": ["of the"]}) == [None]
+
+
+def test_ranks_in_cells(spark):
+    rows = [("b", 2), ("a", 2), ("c", 9), ("ab", 2), ("", 2), ("a", 1), ("é", 2), ("abc", 1)]
+    got = {(r.value, r["count"]): r.place for r in ranked(spark.createDataFrame(rows, "value string, count bigint"), "value", "place").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(rows, key=lambda x: (-x[1], x[0].encode())), 1)}

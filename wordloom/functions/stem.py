@@ -13,6 +13,9 @@ _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic"
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
+_ENDS2, _ENDS3, _ENDS4 = (sorted(x, key=len, reverse=True) for x in (_STEP2, _STEP3, _STEP4))
+
+
 def _form(word: str) -> str:
     """c for each consonant, v for each vowel; y is a vowel after a consonant."""
     out = []
@@ -34,8 +37,8 @@ def _double(word: str) -> bool:
     return len(word) > 1 and word[-1] == word[-2] and _form(word)[-1] == "c"
 
 
-def _replace(word: str, table: dict[str, str]) -> str:
-    for end in sorted(table, key=len, reverse=True):
+def _replace(word: str, ends: list[str], table: dict[str, str]) -> str:
+    for end in ends:
         if word.endswith(end):
             stem = word[: -len(end)]
             return stem + table[end] if _measure(stem) > 0 else word
@@ -66,8 +69,8 @@ def porter(word: str) -> str:
                 break
     if word.endswith("y") and "v" in _form(word[:-1]):
         word = word[:-1] + "i"
-    word = _replace(_replace(word, _STEP2), _STEP3)
-    for end in sorted(_STEP4, key=len, reverse=True):
+    word = _replace(_replace(word, _ENDS2, _STEP2), _ENDS3, _STEP3)
+    for end in _ENDS4:
         if word.endswith(end):
             stem = word[: -len(end)]
             if _measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):

@@ -102,21 +102,31 @@ class TextWords:
     def counted(self, docs: DataFrame, n: int) -> DataFrame:
         """A row for each distinct word, or pair, of each document, with its count: no shuffle."""
         keep = [c for c in docs.columns if c not in ("_text", TOKENS)]
-        t = tokens(F.col("_text"), self.pattern)
-        return runs(docs.select(*keep, F.sort_array(t if n == 1 else bigrams(t)).alias(TOKENS)), keep, n)
+        return runs(docs.select(*keep, tokens(F.col("_text"), self.pattern).alias(TOKENS)), keep, n)
 
     def nwords(self) -> Column:
         return F.size(tokens(F.col("_text"), self.pattern)).cast("bigint")
 
 
 def runs(rows: DataFrame, keep: list[str], n: int) -> DataFrame:
-    """The distinct elements of the sorted array TOKENS of each row, words or pairs, with their counts, beside the columns to keep."""
+    """The distinct words, or pairs of neighbours, in the array TOKENS of each row, with their counts, beside the columns to keep."""
     at = F.element_at
+    rows = rows.select(*keep, F.sort_array(TOKENS if n == 1 else _joined(F.col(TOKENS))).alias(TOKENS))
     first = F.when(F.size(TOKENS) > 0, F.filter(F.sequence(F.lit(1), F.size(TOKENS)), lambda i: (i == 1) | (at(TOKENS, i) != at(TOKENS, F.greatest(i - 1, F.lit(1))))))
     rows = rows.select(*keep, TOKENS, first.alias("_first"))
     each = F.transform("_first", lambda i, k: F.struct(at(TOKENS, i).alias("w"), (F.coalesce(F.get("_first", k + 1), F.size(TOKENS) + 1) - i).cast("bigint").alias("n")))
-    rows = rows.select(*keep, F.explode(each).alias("_r"))
-    return rows.select(*keep, *([F.col("_r.w").alias("word")] if n == 1 else ["_r.w.word1", "_r.w.word2"]), F.col("_r.n").alias(HITS))
+    rows = rows.select(*keep, F.explode(each).alias("_r")).select(*keep, F.col("_r.w").alias("word"), F.col("_r.n").alias(HITS))
+    if n == 1:
+        return rows
+    size = F.substring_index("word", ":", 1)
+    rest = F.substring("word", F.length(size) + 2, F.length("word"))
+    return rows.select(*keep, F.left(rest, size.cast("int")).alias("word1"), F.substring(rest, size.cast("int") + 1, F.length("word")).alias("word2"), HITS)
+
+
+def _joined(words: Column) -> Column:
+    """Neighbours as one text each, which sorts faster than a struct: the first one's length, a colon, and both."""
+    size = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), size), F.slice(words, F.lit(2), size), lambda a, b: F.concat(F.length(a).cast("string"), F.lit(":"), a, b))
 
 
 @dataclass
@@ -272,8 +282,7 @@ class Corpus:
             return spark.read.parquet(f"{path}/{name}")
 
         def rows(n: int) -> DataFrame:
-            t = bigrams(F.col(TOKENS)) if n == 2 else F.col(TOKENS)
-            return runs(texts().select("bookid", F.sort_array(t).alias(TOKENS)), ["bookid"], n)
+            return runs(texts(), ["bookid"], n)
 
         def known(df: DataFrame, *parts: str) -> DataFrame:
             for p in parts:
@@ -293,7 +302,7 @@ class Corpus:
         texts = lambda: stage(TOKENS.strip("_"), lambda: self.catalog.select("bookid", tokens(F.col("_text"), self.source.pattern).alias(TOKENS)))
         forms = {"casesens": F.col("word"), "lowercase": F.lower("word"), "stem": stem(F.col("word"))}
         counts = lambda: texts().select(F.explode(TOKENS).alias("word"), F.lit(1).cast("bigint").alias("count")).where(F.length("word") <= LONGEST)
-        words = stage("words", lambda: vocabulary(counts(), vocabulary_size).withColumns(forms))
+        words = stage("words", lambda: vocabulary(counts(), vocabulary_size).repartition("word").withColumns(forms))
         many, size = words.agg(F.count("*"), F.sum(F.octet_length("word") + 48)).first()
         complete = many < vocabulary_size  # then no word is cut for being rare
         listed = words.select("word")
