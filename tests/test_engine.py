@@ -284,7 +284,7 @@ def test_accents(spark):
 
 
 def test_porter_takes_words_of_any_length():
-    assert porter("y" * 100_001 + "ed") == "y" * 99_999 + "i" and porter("yyyed") == "yi" and porter("a" * 100_000 + "ing") == "a" * 100_000
+    assert porter("y" * 100_001 + "ed") == "y" * 99_999 + "i" and porter("yyyyyed") == "yyyi" and porter("a" * 100_000 + "ing") == "a" * 100_000
     assert porter("syzygy") == "syzygi" and porter("yes") == "ye" and porter("toying") == "toi" and porter("boyish") == "boyish"
 
 
