@@ -26,7 +26,7 @@ def _form(word: str) -> str:
 
 
 def _measure(word: str) -> int:
-    return len(re.findall("v+c+", _form(word)))
+    return _form(word).count("vc")
 
 
 def _short_end(word: str) -> bool:
