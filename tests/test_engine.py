@@ -266,6 +266,10 @@ def test_stream_counts_like_batch(spark, tmp_path):
         append_counts(stream_texts(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("filename", "word", "count").collect()
     assert sorted(map(tuple, got)) == [("a", "one", 2), ("a", "two", 1), ("b", "two", 1)]
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more/0.txt").write_text("c\tthree\n")
+    append_counts(stream_texts(spark, str(tmp_path / "more")), str(tmp_path / "out"), str(tmp_path / "check2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
 def test_http(lazy):
@@ -359,3 +363,14 @@ def test_ranks_in_cells(spark):
     rows = [("b", 2), ("a", 2), ("c", 9), ("ab", 2), ("", 2), ("a", 1), ("é", 2), ("abc", 1)]
     got = {(r.value, r["count"]): r.place for r in ranked(spark.createDataFrame(rows, "value string, count bigint"), "value", "place").collect()}
     assert got == {k: i for i, k in enumerate(sorted(rows, key=lambda x: (-x[1], x[0].encode())), 1)}
+
+
+def test_metadata_of_new_values_replaces_the_table(lazy, spark, tmp_path):
+    path = str(tmp_path / "c")
+    lazy.build(path)
+    for letter in ("A", "B"):
+        corpus = Corpus.open(spark, path)
+        more = corpus.add_metadata(spark.createDataFrame([("1", letter)], "number string, mark string"), "number")
+        more.save_tables(path, [t for t, df in more.tables.items() if corpus.tables.get(t) is not df])
+        assert ask(Engine(Corpus.open(spark, path)), groups=["mark"], counttype="TextCount") == {letter: [1]}
+    assert ask(Engine(Corpus.open(spark, path)), groups=["tags"], counttype="TextCount") == {"x": [2], "y": [2]}

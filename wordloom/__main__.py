@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = SparkSession.builder.appName("wordloom").getOrCreate()
     if args.command == "build":
-        catalog = readers.catalog(spark, args.catalog)
+        catalog = readers.catalog(spark, args.catalog).dropDuplicates(["filename"])
         fields = parse_descriptions(Path(args.fields).read_text()) if args.fields else infer_frame(catalog)
         Corpus.from_documents(name, readers.texts(spark, args.texts).join(catalog, "filename"), fields).build(args.folder)
         return 0
@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "add_metadata":
         df, key = readers.metadata(spark, args.argument)
         more = corpus.add_metadata(df, args.key or ("bookid" if key == "filename" else key))
-        more.save_tables(args.folder)
+        more.save_tables(args.folder, [t for t, df in more.tables.items() if corpus.tables.get(t) is not df])
         return 0
     engine = Engine(corpus)
     if args.command == "serve":

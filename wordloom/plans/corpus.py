@@ -315,11 +315,11 @@ class Corpus:
         return Corpus.open(spark, path)
 
     def save_tables(self, path: str, which: list[str] | None = None) -> None:
-        """Write tables (those not there yet) and the field registry."""
+        """Write the tables named in which, or those not there yet, and the field registry."""
         spark = self.spark
         old = set() if which is not None else {x["table"] for x in json.loads("".join(r[0] for r in spark.read.text(f"{path}/fields").collect()))["fields"]}
         for name, df in self.tables.items():
-            if name not in old:
+            if name in (which if which is not None else set(self.tables) - old):
                 df.write.mode("overwrite").parquet(f"{path}/tables/{name}")
         spec = json.dumps({"name": self.name, "tables": sorted(self.tables), "fields": [asdict(f) for f in self.fields.values()]})
         spark.createDataFrame([(spec,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/fields")

@@ -6,6 +6,8 @@ folder, and a document is counted once, by the checkpointed source.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +22,14 @@ def stream_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def append_counts(texts: DataFrame, out: str, checkpoint: str, pattern: str = PATTERN):
-    """Start a query that appends (filename, word, count) for each new text to parquet in out; returns the query."""
+    """Start a query that appends (filename, word, count) for each new text to parquet in out; returns the query.
+
+    A batch that is run again replaces itself; batches of another checkpoint, which numbers from 0 too, stand beside them.
+    """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
         words = batch.select("filename", F.explode(tokens(F.col("text"), pattern)).alias("word"))
-        words.groupBy("filename", "word").agg(F.count("*").alias("count")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        words.groupBy("filename", "word").agg(F.count("*").alias("count")).write.mode("overwrite").parquet(f"{out}/run=r{run}/batch={number}")
 
     return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
