@@ -1,7 +1,7 @@
 """Times the headline queries: $BENCH_SF_DIR (default /root/testdata/sf0.1) on local[$BENCH_CPUS].  Prints one line of JSON.
 
 A corpus is built once, as a user would (build_corpus), and the JSON queries are asked of it, each result collected; the best of
-RUNS is given, after one unmeasured query.  Operators of wordloom.llm are timed once, with their results written nowhere.
+RUNS is given, after one unmeasured query.  Operators of wordloom.llm and the pipeline are timed once, with their results written nowhere.
 """
 
 from __future__ import annotations
@@ -76,6 +76,10 @@ def main() -> None:
 
             for name, query in OPERATORS.items():
                 seconds[name] = timed(lambda f=query: noop(f(spark, sf)))
+            if importlib.util.find_spec("corpus_pipeline") is not None:
+                import corpus_pipeline
+
+                seconds["pipeline"] = timed(lambda: noop(corpus_pipeline.run(spark, sf)))
     finally:
         spark.stop()
         shutil.rmtree(work, ignore_errors=True)
