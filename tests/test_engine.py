@@ -14,11 +14,12 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from wordloom import queries
 from wordloom.api import Engine, serve
 from wordloom.errors import QueryError
 from wordloom.functions.stem import porter
 from wordloom.functions.timefields import derive, parse_date
-from wordloom.functions.tokens import PATTERN, fold_accents, ngrams, tokens
+from wordloom.functions.tokens import PATTERN, all_grams, fold_accents, gram_count, ngrams, tokens
 from wordloom.plans.corpus import Corpus, TextWords, ranked, vocabulary
 from wordloom.plans.fields import Field, infer, join_path, parse_descriptions
 from wordloom.plans.spec import normalise, phrases
@@ -66,6 +67,19 @@ def test_ngrams(spark):
     assert [r[0] for r in df.select(ngrams(F.col("t"), 3)).collect()] == [["a b c"], [], []]
 
 
+def test_gram_count_is_the_number_of_grams(spark):
+    df = spark.createDataFrame([(list("abcdefgh"),), (list("abc"),), (["a"],), ([],)], "t array<string>")
+    rows = df.select(gram_count(F.col("t"), 6), F.size(all_grams(F.col("t"), 6))).collect()
+    assert [r[0] for r in rows] == [r[1] for r in rows] == [33, 6, 1, 0]
+
+
+@pytest.mark.parametrize("name", ["allgrams_sizes", "ngrams_trigram_counts", "bigram_structs"])
+def test_texts_are_cut_once(spark, sf, name):
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert name != "allgrams_sizes" or "zip_with" not in plan
+
+
 def test_groups_and_words(engine):
     assert ask(engine, groups=["author"], counttype="TextCount") == {"": [1], "hamilton": [2], "madison": [1]}
     assert ask(engine, search_limits={"word": ["the"]}, counttype=["WordCount", "TextCount"]) == [5, 3]

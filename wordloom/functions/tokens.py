@@ -39,6 +39,12 @@ def all_grams(words: Column, most: int) -> Column:
     return F.concat(*[ngrams(words, n) for n in range(1, most + 1)])
 
 
+def gram_count(words: Column, most: int) -> Column:
+    """How many runs all_grams gives, from the number of tokens: none is made."""
+    size = F.size(words)
+    return sum((F.greatest(size - (n - 1), F.lit(0)) for n in range(2, most + 1)), size)
+
+
 def bigrams(words: Column) -> Column:
     """Pairs of neighbouring tokens as structs (word1, word2)."""
     size = F.greatest(F.size(words) - 1, F.lit(0))
