@@ -73,7 +73,7 @@ def population(corpus: Corpus, side: Side, collation: str, words: str, texts: st
         n = sizes.pop()
         if terms and len(terms[0]) != n:
             raise QueryError("words and word groups differ in length")
-        wide, several = widen(corpus.source.counted(docs, n), corpus, fields)
+        wide, several = widen(corpus.source.counted(docs.drop("nwords"), n), corpus, fields)
         parts = ["word"] if n == 1 else ["word1", "word2"]
         if terms:
             wide = wide.where(phrase_test([F.col(p) for p in parts], terms, collation))
