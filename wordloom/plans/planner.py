@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wordloom.errors import QueryError
 from wordloom.functions.statistics import COUNT_TYPES, TX, TY, WX, WY
 from wordloom.operators.predicates import WORD_KEYS, names, predicate
-from wordloom.plans.corpus import HITS, STEMMED, TOKENS, Corpus, TextWords, phrase_test
+from wordloom.plans.corpus import DOCS, HITS, STEMMED, TOKENS, Corpus, TextWords, phrase_test
 from wordloom.plans.fields import join_path
 from wordloom.plans.spec import WORD_GROUPS, QuerySpec, Side, phrases
 
@@ -73,13 +73,20 @@ def population(corpus: Corpus, side: Side, collation: str, words: str, texts: st
         n = sizes.pop()
         if terms and len(terms[0]) != n:
             raise QueryError("words and word groups differ in length")
-        wide, several = widen(corpus.source.counted(docs.drop("nwords"), n), corpus, fields)
         parts = ["word"] if n == 1 else ["word1", "word2"]
+        whole = n == 1 or "bigram" in word_groups or len(word_groups) == 2  # a document's rows are in different groups
+        some = corpus.source.grouped(docs, n, fields) if whole and isinstance(corpus.source, TextWords) and all(corpus.fields[f].table == "catalog" for f in fields) else None
+        wide, several = (some, False) if some is not None else widen(corpus.source.counted(docs.drop("nwords"), n), corpus, fields)
         if terms:
             wide = wide.where(phrase_test([F.col(p) for p in parts], terms, collation))
         label = {"unigram": F.col("word"), "word": F.col("word")} if n == 1 else {"bigram": F.concat_ws(" ", "word1", "word2"), "bigram1": F.col("word1"), "bigram2": F.col("word2")}
         by = [label[g].alias(g) if g in WORD_GROUPS else F.col(f"`{g}`") for g in side.groups]
-        whole = not several and (n == 1 or "bigram" in word_groups or len(word_groups) == 2)  # a document's rows are in different groups
+        if some is not None:
+            rows = wide.select(*by, HITS, DOCS)
+            if n == 2:  # nearly all are different, so grouping before the shuffle gains nothing
+                rows = rows.repartition(*[F.col(f"`{g}`") for g in side.groups])
+            return rows.groupBy(*[F.col(f"`{g}`") for g in side.groups]).agg(F.sum(HITS).alias(words), F.sum(DOCS).alias(texts))
+        whole = whole and not several
         return wide.groupBy(*by).agg(F.sum(HITS).alias(words), (F.count("bookid") if whole else F.count_distinct("bookid")).alias(texts))
     by = [F.col(f"`{g}`") for g in fields]
     if terms:
