@@ -113,15 +113,23 @@ def _cut(texts: pa.Array, of: np.ndarray) -> pa.ListArray:
     start, end = _spans(kind >= LETTER)
     first, last = _spans(kind == DIGIT)
 
-    # a run that begins with digits, until there; with a dollar before it
-    number = kind[start] == DIGIT
+    # a run that begins with digits, until there; with a dollar before it.  Few runs are looked at more closely, and only these are
+    number = np.flatnonzero(kind[start] == DIGIT)
     until = start.copy()
     until[number] = last[np.searchsorted(first, start[number])]
-    dollar = number & (raw[start - 1] == ord("$"))
+    dollar = np.zeros(len(start), bool)
+    dollar[number[raw[start[number] - 1] == ord("$")]] = True
     # what joins a run with the next, unless an earlier token took the run, or its digits went with the dollar
-    possessive = (raw[end] == ord("'")) & (_LOWER[raw[end + 1]] == ord("s"))
-    link = possessive | (number & (until == end) & (raw[end] == ord(".")) & (kind[end + 1] == DIGIT))
-    active = link & ~(possessive & dollar & (until == end))
+    after = raw[end]
+    some = np.flatnonzero(after == ord("'"))
+    some = some[_LOWER[raw[end[some] + 1]] == ord("s")]
+    possessive = np.zeros(len(start), bool)
+    possessive[some] = True
+    link = possessive.copy()
+    link[number[(until[number] == end[number]) & (after[number] == ord(".")) & (kind[end[number] + 1] == DIGIT)]] = True
+    active = link.copy()
+    some = some[dollar[some]]
+    active[some[until[some] == end[some]]] = False
     # digits behind the s of a possessive may begin a decimal
     late = np.flatnonzero(possessive[:-1]) + 1
     late = late[(kind[start[late] + 1] == DIGIT) & (raw[end[late]] == ord(".")) & (kind[end[late] + 1] == DIGIT)]
@@ -152,19 +160,21 @@ def _cut(texts: pa.Array, of: np.ndarray) -> pa.ListArray:
     begin[some] = digits
     some = begin < finish
     begin, finish = begin[some], finish[some]
-    long = finish - begin
-    sharp = (raw[finish] == ord("#")) & (long == 1) & _SHARP[_LOWER[raw[begin]]]
-    dots = np.flatnonzero((raw[finish] == ord(".")) & (long <= 4))
+    long, after = finish - begin, raw[finish]
+    sharp = np.zeros(len(begin), bool)
+    some = np.flatnonzero(after == ord("#"))
+    sharp[some[(long[some] == 1) & _SHARP[_LOWER[raw[begin[some]]]]]] = True
+    dots = np.flatnonzero((after == ord(".")) & (long <= 4))
     code = np.zeros(len(dots), np.int64)
     for k in range(4):
         code += np.where(k < long[dots], _LOWER[raw[np.minimum(begin[dots] + k, len(raw) - 1)]].astype(np.int64) << 8 * k, 0)
-    sharp[dots] |= np.isin(code, _SHORT)
+    sharp[dots[np.isin(code, _SHORT)]] = True
     alone[finish[sharp]] = False
     stop[begin] = finish + sharp
 
     at = np.flatnonzero(alone)
     stop[at] = at + _LENGTH[raw[at]]
-    at = np.flatnonzero(stop)
+    at = np.flatnonzero(stop != 0)
     offsets = np.r_[0, np.cumsum(stop[at] - at)].astype(np.int32)
     data = raw[kind != SEPARATOR]
     assert offsets[-1] == len(data)
